@@ -11,7 +11,9 @@ by their ids; an empty table makes no files and no rows; other columns are not r
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,11 +25,14 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import files, huffman
 from tidewheel.llm.storage import bounded_batches, materialise, new_folder
-from tidewheel.llm.unitcache import UnitCache, plain, portions
+from tidewheel.llm.unitcache import Memo, plain
 
 END_ID = 0
 #: A file is closed once it has this many ids.
 FILE_IDS = 1 << 22
+#: Signs that the pre-tokenizer joins to one piece behind a word; the apostrophe begins contractions.
+_SIGNS = "!#$%&()*+,-./:;<=>?@[]^_{|}~"
+assert sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class ByteBpe:
@@ -49,51 +54,35 @@ class ByteBpe:
         visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in visible]
         self.letters = {b: chr(b) for b in visible} | {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.words = UnitCache(lambda w: [self._word(x) for x in w])
-        self.units = UnitCache(self._units)
-        self.line_end = self._library("\n")
+        self.words, self.units = Memo(self._word), Memo(self._unit)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         """One pre-token through the library's model."""
         mapped = word.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.tokenizer.model.tokenize(mapped)], "<u4").tobytes()
-
-    def _units(self, units: list[str]) -> list[bytes]:
-        # Letters, or a space and letters, with one sign behind: the commonest units need no regex.
-        split: list[tuple[str, ...] | None] = []
-        for u in units:
-            core = u[1:] if u[:1] == " " else u
-            if core and max(core) < "ɐ":
-                if core.isalpha():
-                    split.append((u,))
-                    continue
-                if core[-1] in ".,;:!?" and core[:-1].isalpha():
-                    split.append((u[:-1], u[-1]))
-                    continue
-            split.append(None)
-        known = self.words.ready(w for x in split if x for w in x)
-        return [self._library(u) if x is None else b"".join(map(known.__getitem__, x)) for u, x in zip(units, split, strict=True)]
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
+
+    def _unit(self, unit: str) -> bytes:
+        """Letters, perhaps a space before and signs behind, need no regex to be cut; the rest goes to the library."""
+        if max(unit) < "ɐ":
+            word = unit.rstrip(_SIGNS)
+            if word[word[:1] == " " :].isalpha():
+                return self.words[word] + (self.words[unit[len(word) :]] if len(word) < len(unit) else b"")
+        return self._library(unit)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        for part in portions(texts):
-            split: dict[int, list[list[str]]] = {}
-            for i in part:
-                t = texts[i]
-                if not t:
-                    continue
-                if plain(t) and not any(s in t for s in self.specials):
-                    # " " goes with the word behind it.
-                    split[i] = [line.replace(" ", "\n ").split("\n") for line in t.split("\n")]
-                else:
-                    out[i] = self._library(t)
-            known = self.units.ready(u for lines in split.values() for line in lines for u in line)
-            get = known.__getitem__
-            for i, lines in split.items():
-                out[i] = self.line_end.join([b"".join(map(get, line)) for line in lines])
+        out: list[bytes] = []
+        for t in texts:
+            if not t:
+                out.append(b"")
+            elif plain(t) and "\0" not in t and not any(s in t for s in self.specials):
+                # A unit is a line end, or a word with the space before it.
+                self.words, self.units = self.words.turned(), self.units.turned()
+                out.append(b"".join(map(self.units.__getitem__, t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0"))))
+            else:
+                out.append(self._library(t))
         return out
 
 

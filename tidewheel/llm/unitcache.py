@@ -32,6 +32,25 @@ class UnitCache:
         return now
 
 
+class Memo(dict):
+    """``make`` of each key, made when first asked for; two generations as above."""
+
+    def __init__(self, make: Callable[[str], bytes], before: dict | None = None):
+        super().__init__()
+        self.make, self.before = make, before or {}
+
+    def __missing__(self, key: str) -> bytes:
+        got = self.before.get(key)
+        if got is None:
+            got = self.make(key)
+        self[key] = got
+        return got
+
+    def turned(self, limit: int = 400_000) -> Memo:
+        """This memo, or its next generation if it is full."""
+        return self if len(self) <= limit else Memo(self.make, dict(self))
+
+
 def portions(texts: list[str], size: int = 1 << 20) -> Iterable[list[int]]:
     """Indexes of consecutive texts in portions of about ``size`` characters."""
     part, n = [], 0
