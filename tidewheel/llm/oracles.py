@@ -60,8 +60,9 @@ y AS (
   SELECT doc_id, source, len(regexp_extract_all(line, '{_BY_SPACE}')) AS n,
     ('0x' || substr(md5(regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')), 1, 15))::BIGINT AS h FROM x
 ),
-f AS (SELECT doc_id, min(h) AS family FROM y GROUP BY doc_id),
-v AS (SELECT source, h, family, count(DISTINCT y.doc_id) AS n FROM y JOIN f ON f.doc_id = y.doc_id GROUP BY ALL),
+u AS (SELECT DISTINCT doc_id, source, h FROM y),
+f AS (SELECT u.doc_id, u.source, u.h, coalesce(min(o.h), u.h) AS family FROM u LEFT JOIN u o ON o.doc_id = u.doc_id AND o.h <> u.h GROUP BY ALL),
+v AS (SELECT source, h, family, count(*) AS n FROM f GROUP BY ALL),
 t AS (SELECT source, h FROM v GROUP BY ALL HAVING sum(n) - max(n) > 20 AND (sum(n) - max(n)) * 2 >= sum(n)),
 e AS (SELECT doc_id, sum(n) AS n FROM y JOIN t ON t.source IS NOT DISTINCT FROM y.source AND t.h = y.h GROUP BY doc_id),
 m AS (
