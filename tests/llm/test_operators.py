@@ -189,7 +189,7 @@ def test_quality(spark):
         again = {x for j, y in enumerate(g) if g.count(y) > 1 for x in (j, j + 1, j + 2)} if len(g) < 2000 else None
         assert (got[i].n_words, got[i].word_chars) == (len(w), sum(map(len, w)))
         assert again is None or got[i].n_repeat_words == len(again)
-    shared = "this very line of boilerplate stands in all of them and says nothing at all to anyone who reads it " * 3
+    shared = " ".join(f"boiler{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
     name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
     rows = [(i, shared + f"\nown {name(i)}" + f"\nword by {name(i)}", "en", "s", 0, "k") for i in range(60)]
     judged = quality.digest(quality.judge(spark.createDataFrame(rows, DOCS))).collect()
