@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import linkage
 from tidewheel.llm.rtree import CountRTree, overlap_needed, point
-from tidewheel.llm.storage import bounded_batches, free_shuffles, materialise, maybe_broadcast
+from tidewheel.llm.storage import bounded_batches, free_shuffles, fresh, materialise, maybe_broadcast
 from tidewheel.llm.unitcache import portions
 from tidewheel.llm.wordhash import mix, shingle_sets
 
@@ -202,6 +202,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     Of repeated rows all stay together; rows without a doc_id, and empty ones, stay.
     """
     c = components(docs, shingle, percent)
-    gone = c.filter("component_id < doc_id").select(F.col("doc_id").alias("gone"), "n_shingles").distinct()
-    gone = maybe_broadcast(materialise(gone.select("gone").distinct(), "near-copies"), 500_000)
-    return docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    (name,) = fresh(docs, "gone")
+    gone = c.filter("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    gone = maybe_broadcast(materialise(gone, "near-copies"), 500_000)
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

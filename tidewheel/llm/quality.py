@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.storage import let, materialise, maybe_broadcast
+from tidewheel.llm.storage import fresh, let, materialise, maybe_broadcast
 
 LIMIT = 20
 LEFT_PERCENT = 20
@@ -151,6 +151,7 @@ def passed(docs: DataFrame, limit: int = LIMIT, left_percent: int = LEFT_PERCENT
     """
     key = F.struct("doc_id", F.xxhash64("source", "text").alias("t"))
     named = docs.select(key.alias("doc_id"), "source", "text")
-    rejected = judge(named, limit, left_percent).filter("not kept").select(F.col("doc_id").alias("_out")).distinct()
+    (out,) = fresh(docs, "_out")
+    rejected = judge(named, limit, left_percent).filter("not kept").select(F.col("doc_id").alias(out)).distinct()
     rejected = maybe_broadcast(materialise(rejected, "quality-rejected"), SIDE_ROWS)
-    return docs.withColumn("_key", key).join(rejected, F.col("_key") == F.col("_out"), "left_anti").drop("_key")
+    return docs.join(rejected, key == F.col(out), "left_anti")
