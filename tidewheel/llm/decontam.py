@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.storage import fresh, materialise, maybe_broadcast, new_folder
+from tidewheel.llm.storage import fresh, materialise, maybe_broadcast
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -64,17 +64,14 @@ def build_index(docs: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame
 
     One pass over the texts; no shuffle: a task writes the postings of the rows that it reads.
     """
-    spark = docs.sparkSession
     w = docs.select(doc_key().alias("d"), words(F.col("text")).alias("w"))
-    # The word before the first carries the count, so that one scan writes both tables.
+    # The word before the first carries the count, so that one scan writes both in one table; no sort by kind is needed.
     flat = w.select("d", F.posexplode(F.concat(F.array(F.concat(F.lit("\n"), F.size("w").cast("string"))), "w")).alias("pos", "term"))
     listed = flat.join(maybe_broadcast(terms, SIDE_ROWS), "term", "left").filter(F.col("tid").isNotNull() | (F.col("pos") == 0))
-    path = new_folder(spark, "leaks-index")
     size = F.when(F.col("pos") == 0, F.substring("term", 2, 20).cast("long"))
-    out = listed.select((F.col("pos") == 0).alias("head"), "tid", F.col("d.id").alias("id"), F.col("d.t").alias("t"), (F.col("pos") - 1).alias("pos"), size.alias("n_words"))
-    out.write.partitionBy("head").option("compression", "zstd").parquet(path)
-    both = spark.read.schema("tid long, id long, t long, pos int, n_words long, head boolean").parquet(path)
-    return both.filter("not head").select("tid", "id", "t", "pos"), both.filter("head").select("id", "t", "n_words")
+    out = listed.select("tid", F.col("d.id").alias("id"), F.col("d.t").alias("t"), (F.col("pos") - 1).alias("pos"), size.alias("n_words"))
+    both = materialise(out, "leaks-index")
+    return both.filter("pos >= 0").select("tid", "id", "t", "pos"), both.filter("pos < 0").select("id", "t", "n_words")
 
 
 def occurrences(index: DataFrame, bench: Benchmark) -> DataFrame:
