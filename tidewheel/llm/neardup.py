@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import linkage
 from tidewheel.llm.rtree import CountRTree, overlap_needed, point
-from tidewheel.llm.storage import bounded_batches, free_shuffles, fresh, materialise, maybe_broadcast
+from tidewheel.llm.storage import bounded_batches, free_shuffles, fresh, lean, materialise, maybe_broadcast
 from tidewheel.llm.unitcache import portions
 from tidewheel.llm.wordhash import mix, shingle_sets
 
@@ -101,7 +101,7 @@ def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialise(rows.mapInArrow(out, "doc_id long, n long, s1 long, s2 long, keys array<long>"), "shingles")
+    return materialise(rows.mapInArrow(lean(out), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "shingles")
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
@@ -122,7 +122,7 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     holder = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     w = maybe_broadcast(wanted.select(F.col("doc_id").alias("holder"), "s1"), 500_000)
     rows = holder.join(w, F.col("doc_id").eqNullSafe(F.col("holder"))).select("doc_id", "text", "s1")
-    return materialise(rows.mapInArrow(out, "node long, tokens binary, point binary").dropDuplicates(["node"]), "token-sets")
+    return materialise(rows.mapInArrow(lean(out), "node long, tokens binary, point binary").dropDuplicates(["node"]), "token-sets")
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -144,13 +144,13 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         t = tokens(nodes)
         left = t.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("point").alias("pa"))
         right = t.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("point").alias("pb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "pa", "pb").mapInArrow(lambda x: _linked(x, percent), "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "pa", "pb").mapInArrow(lean(lambda x: _linked(x, percent)), "a long, b long")
 
     def search(dealt: DataFrame) -> DataFrame:
         p = tokens(dealt.select("node").distinct()).select("node", "point")
         rows = dealt.join(p, "node").select("key", "i", "j", "blk", "node", "comp", "point")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lambda x: _searched(x, percent), "a long, b long")
+        return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(lambda x: _searched(x, percent)), "a long, b long")
 
     comp = linkage.groups(records, verify, search)
     free_shuffles(spark)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.charsmap import SPACE, CharsMap, normalise
-from tidewheel.llm.storage import bounded_batches
+from tidewheel.llm.storage import bounded_batches, lean
 from tidewheel.llm.unitcache import UnitCache, plain, portions
 
 _MARK = "▁"
@@ -155,7 +155,7 @@ def encode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, source_bytes long, spans_crc32 long, ids array<int>, decoded string"
-    got = rows.mapInArrow(out, schema)
+    got = rows.mapInArrow(lean(out), schema)
     return got if keep else got.drop("ids", "decoded")
 
 
