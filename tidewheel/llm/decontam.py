@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.storage import fresh, materialise, maybe_broadcast
+from tidewheel.llm.storage import fresh, materialise, maybe_broadcast, settled
 
 WINDOW = 10
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -157,8 +157,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of ``docs`` without any occurrence, with all their columns."""
-    found, _ = search(docs, items, window)
     i, t = fresh(docs, "bad_id", "bad_text")
-    bad = found.select(F.col("id").alias(i), F.col("t").alias(t)).distinct()
-    bad = maybe_broadcast(materialise(bad, "leaks-bad"), SIDE_ROWS)
+    bad = settled(docs.sparkSession, lambda: search(docs, items, window)[0].select(F.col("id").alias(i), F.col("t").alias(t)).distinct(), "leaks-bad")
+    bad = maybe_broadcast(bad, SIDE_ROWS)
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(t)), "left_anti")

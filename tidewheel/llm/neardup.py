@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm import linkage
 from tidewheel.llm.rtree import CountRTree, overlap_needed, point
-from tidewheel.llm.storage import bounded_batches, free_shuffles, fresh, lean, materialise, maybe_broadcast
+from tidewheel.llm.storage import bounded_batches, fresh, lean, materialise, maybe_broadcast, settled
 from tidewheel.llm.unitcache import portions
 from tidewheel.llm.wordhash import mix, shingle_sets
 
@@ -152,8 +152,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(lambda x: _searched(x, percent)), "a long, b long")
 
-    comp = linkage.groups(records, verify, search)
-    free_shuffles(spark)
+    comp = settled(spark, lambda: linkage.groups(records, verify, search), "set-groups")
     rows = f.select("doc_id", "n", "s1", "s2")
     # A set's rows are one node, named by both halves of its name where the rows are put together.
     same = rows.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
@@ -201,8 +200,7 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
 
     Of repeated rows all stay together; rows without a doc_id, and empty ones, stay.
     """
-    c = components(docs, shingle, percent)
     (name,) = fresh(docs, "gone")
-    gone = c.filter("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
-    gone = maybe_broadcast(materialise(gone, "near-copies"), 500_000)
+    gone = settled(docs.sparkSession, lambda: components(docs, shingle, percent).filter("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    gone = maybe_broadcast(gone, 500_000)
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.storage import fresh, let, materialise, maybe_broadcast
+from tidewheel.llm.storage import fresh, let, materialise, maybe_broadcast, settled
 
 LIMIT = 20
 LEFT_PERCENT = 20
@@ -152,6 +152,6 @@ def passed(docs: DataFrame, limit: int = LIMIT, left_percent: int = LEFT_PERCENT
     key = F.struct("doc_id", F.xxhash64("source", "text").alias("t"))
     named = docs.select(key.alias("doc_id"), "source", "text")
     (out,) = fresh(docs, "_out")
-    rejected = judge(named, limit, left_percent).filter("not kept").select(F.col("doc_id").alias(out)).distinct()
-    rejected = maybe_broadcast(materialise(rejected, "quality-rejected"), SIDE_ROWS)
+    rejected = settled(docs.sparkSession, lambda: judge(named, limit, left_percent).filter("not kept").select(F.col("doc_id").alias(out)).distinct(), "quality-rejected")
+    rejected = maybe_broadcast(rejected, SIDE_ROWS)
     return docs.join(rejected, key == F.col(out), "left_anti")

@@ -11,6 +11,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 #: Arrow batches handed to Python stay under this many bytes, so long texts don't pile up.
 BATCH_BYTES = 16 << 20
 _own: dict[str, str] = {}
+#: Folders made inside the innermost ``settled``.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -34,7 +37,11 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/tidewheel/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/tidewheel/{label}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
@@ -44,6 +51,26 @@ def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` gives, materialised; the folders that it made on the way are deleted once that is written."""
+    made: list[str] = []
+    token = _made.set(made)
+    try:
+        df = make()
+    finally:
+        _made.reset(token)
+    out = materialise(df, label)
+    for path in made:
+        remove(spark, path)
+    free_shuffles(spark)
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of frames that are no longer referenced."""
     import gc

@@ -51,7 +51,7 @@ class Memo(dict):
         return self if len(self) <= limit else Memo(self.make, dict(self))
 
 
-def portions(texts: list[str], size: int = 1 << 20) -> Iterable[list[int]]:
+def portions(texts: list[str], size: int = 1 << 18) -> Iterable[list[int]]:
     """Indexes of consecutive texts in portions of about ``size`` characters."""
     part, n = [], 0
     for i, t in enumerate(texts):
