@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 #: Arrow batches handed to Python stay under this many bytes, so long texts don't pile up.
 BATCH_BYTES = 16 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 #: Folders made inside the innermost ``settled``.
 _made: ContextVar[list[str] | None] = ContextVar("made", default=None)
@@ -45,10 +46,18 @@ def new_folder(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there."""
-    path = new_folder(df.sparkSession, label)
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: the lineage ends there.
+
+    The shuffle files of the write go at its end; nothing asks for them again.
+    """
+    spark, path = df.sparkSession, new_folder(df.sparkSession, label)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
