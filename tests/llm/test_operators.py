@@ -199,6 +199,17 @@ def test_quality(spark):
     assert {r.doc_id for r in quality.passed(docs(spark)).collect()} == kept and quality.passed(docs(spark)).columns == docs(spark).columns
 
 
+def test_quality_counts_all_boilerplate_of_a_page(spark):
+    name = lambda i: chr(97 + i // 26) + chr(97 + i % 26)
+    page = lambda host: "\n".join(" ".join(f"{host}{name(i)}{name(j)}" for j in range(15)) for i in range(8))
+    own = lambda i: f"\nonly {name(i)} here"
+    texts = [(h, page(h) + own(i)) for h, n in (("above", 21), ("at", 20)) for i in range(n)] + [("copies", page("copies"))] * 40
+    rows = [(i, t, "en", h, 0, "k") for i, (h, t) in enumerate(texts)]
+    judged = quality.judge(spark.createDataFrame(rows, DOCS)).collect()
+    assert {(r.source, r.removed_words, r.kept) for r in judged} == {("above", 120, False), ("at", 0, True), ("copies", 0, True)}
+    assert not any(r.base_failed for r in judged)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

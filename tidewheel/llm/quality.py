@@ -2,10 +2,11 @@
 
 Lines are normalised (lower case, runs of white space and digits folded, trimmed) and hashed; for each
 host (``source``) and line the distinct documents that hold it are counted. Copies must not make their
-own text look like boilerplate, so for each line documents count by family: the least hash of the
-document's other lines, which exact and near copies mostly share. A line is above the limit if the
-documents outside its largest family are more than ``LIMIT`` and at least half of all its documents. Such lines are
-removed; a document that keeps under ``LEFT_PERCENT`` of its words is rejected as depleted.
+own text look like boilerplate, so documents of a host with the same set of lines count once. A line that
+more than ``LIMIT`` of them hold is above the limit. Such lines are removed; a document that keeps under
+``LEFT_PERCENT`` of its words is rejected as depleted.
+
+A copy with a changed line is a document of its own: it can't be told from another page of the same template.
 
 Null text has no words; a null source is a host of its own; null doc_ids and repeated rows pass through
 as rows of their own; an empty table gives an empty result; other columns don't matter.
@@ -80,7 +81,7 @@ def _hash(line: Column) -> Column:
 def measure(docs: DataFrame) -> DataFrame:
     """One row for each input row, without its text, written to the shared folder.
 
-    doc_id, source, row, the base counts, least (the two least line hashes) and lines: (hash, words) of
+    doc_id, source, row, the base counts, copy (a hash of the set of lines) and lines: (hash, words) of
     each line that has a word.
     """
     text = F.col("text")
@@ -106,7 +107,7 @@ def measure(docs: DataFrame) -> DataFrame:
     )
     out = out.select("doc_id", "source", "row", "w.*", "n_symbols", "l.*")
     hashes = F.transform("lines", lambda x: x["h"])
-    return materialise(out.withColumn("least", F.slice(F.array_sort(F.array_distinct(hashes)), 1, 2)), "quality")
+    return materialise(out.withColumn("copy", F.xxhash64(F.array_sort(F.array_distinct(hashes)))), "quality")
 
 
 def frequent_lines(measured: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -115,13 +116,8 @@ def frequent_lines(measured: DataFrame, limit: int = LIMIT) -> DataFrame:
     Counts are combined before each shuffle, so a host or line that fills a third of the table is one
     partial row for each task.
     """
-    held = measured.select("source", "least", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    first = F.get("least", F.lit(0))
-    held = held.withColumn("family", F.when(F.col("h") == first, F.coalesce(F.get("least", F.lit(1)), "h")).otherwise(first))
-    by_family = held.groupBy("source", "h", "family").agg(F.count(F.lit(1)).alias("n"))
-    totals = by_family.groupBy("source", "h").agg(F.sum("n").alias("docs"), F.max("n").alias("largest"))
-    apart = F.col("docs") - F.col("largest")
-    return totals.filter((apart > limit) & (apart * 2 >= F.col("docs"))).select("source", "h")
+    held = measured.select("source", "copy", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
+    return held.groupBy("source", "h").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > limit).select("source", "h")
 
 
 def judge(docs: DataFrame, limit: int = LIMIT, left_percent: int = LEFT_PERCENT) -> DataFrame:
@@ -136,7 +132,7 @@ def judge(docs: DataFrame, limit: int = LIMIT, left_percent: int = LEFT_PERCENT)
     n, r = F.col("n_words"), F.coalesce("removed_words", F.lit(0)).cast("long")
     base_failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
     depleted = (n - r) * 100 < n * left_percent
-    out = m.drop("lines", "least").join(removed, "row", "left").withColumn("removed_words", r)
+    out = m.drop("lines", "copy").join(removed, "row", "left").withColumn("removed_words", r)
     return out.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & ~depleted)
 
 
