@@ -181,6 +181,28 @@ def test_line_dedup(spark):
     assert lines.stage(d).columns == d.columns and lines.stage(docs(spark, True)).count() == 0
 
 
+def test_line_dedup_finds_like_lines(spark):
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 11)))
+    pairs = []
+    while len(pairs) < 300:
+        x = [word() for _ in range(rng.choice([2, 3, 5, 8, 12, 20]))]
+        y = list(x)
+        if len(pairs) % 3:
+            for i in rng.sample(range(len(y)), len(pairs) % 3):
+                y[i] = word()
+        else:
+            i = rng.randrange(len(y))
+            y[i] = y[i][:-1] + rng.choice(letters.replace(y[i][-1], ""))
+        x, y = " ".join(x), " ".join(y)
+        if within(x, y, max(len(x), len(y)) * 20 // 100):
+            pairs.append((x, y))
+    rows = [(2 * i + k, p[k], "en", "s", 0, "k") for i, p in enumerate(pairs) for k in range(2)]
+    gone = {r.doc_id for r in lines.removals(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all(i % 2 for i in gone) and len(gone) >= 285
+
+
 def test_quality(spark):
     got = {r.doc_id: r for r in quality.digest(quality.judge(docs(spark))).collect()}
     for i, t in rows_of(docs(spark)):
