@@ -5,6 +5,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from tidewheel import oracles, queries
 from tidewheel.operators import detail, replay, windows
 from tidewheel.plans.config import Aggregate, DetailConfig, GroupSchema, JobConfig, Retraction, WindowConfig
 
@@ -100,3 +101,31 @@ def test_details(spark, tmp_path):
     assert store.hget("p:s", "y") == "y,3" and store.hkeys("p:s").count() == 2 and not store.exists("q")
     with pytest.raises(Exception, match="blank"):
         detail.build(df.withColumn("pk", F.lit(" ")), cfg).collect()
+
+
+@pytest.mark.parametrize(
+    ("name", "group", "kw"),
+    [
+        ("emit_on_change", ["count_4", "sum_4", "distinct_long_2"], {"size": 3 * HOUR, "always": False}),
+        ("always_calculate_grid", ["count_4", "sum_4"], {"size": 3 * HOUR}),
+        ("idle_key_islands", ["count_4", "distinct_long_2"], {"size": 6 * HOUR}),
+        ("keep_old_data", ["count_4", "distinct_long_2"], {"size": 6 * HOUR, "keep_old": True}),
+    ],
+)
+def test_idle_keys_over_all_events(spark, name, group, kw):
+    """The query over all events, and the same windows over a sparse part of them, against SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet'")
+
+    def same(got, sql):
+        want = sorted(db.sql(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall())
+        have = sorted(map(tuple, got.collect()))
+        assert len(have) == len(want) and have
+        assert all(x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], abs=1e-3) for x, y in zip(have, want, strict=True))
+
+    field = oracles.FIELD | {"key_0_2": "g.user_id"}
+    same(queries.QUERIES[name](spark, folder), oracles.window_sql(group, ("key_0_2", "endtime_13"), keys=("user_id",), field=field, **kw))
+    sparse = lambda e: e.filter((F.col("event_type") == "error") & (F.dayofmonth("ts") % 5 == 0))
+    same(queries.window_query(sparse, group=group, slide=HOUR, **kw)(spark, folder), oracles.ORACLE[name])

@@ -42,10 +42,6 @@ def nulls(e: DataFrame) -> DataFrame:
     return e.withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value"))).withColumn("user_id", F.when(F.col("event_id") % 11 != 0, F.col("user_id")))
 
 
-def sparse(e: DataFrame) -> DataFrame:
-    return e.filter((F.col("event_type") == "error") & (F.dayofmonth("ts") % 5 == 0))
-
-
 def late(e: DataFrame) -> DataFrame:
     """Appends arrival: some rows come 20 minutes late, a few a day and two hours."""
     ms = F.unix_millis("ts")
@@ -53,6 +49,8 @@ def late(e: DataFrame) -> DataFrame:
     return e.withColumn("arrival", ms + delay)
 
 
+#: Users have idle hours, event types have none.
+USERS = {"fields": ("key_0_2", "endtime_13"), "keys": (2,)}
 DAY_CONFIG = {"size": 25 * HOUR, "start_zero": True, "keep_late_zero": HOUR}
 
 
@@ -197,10 +195,10 @@ QUERIES: dict[str, Query] = {
     "day_cumulative_count_sum": window_query(group=["count_4", "sum_4"], **{**DAY_CONFIG, "keep_late_zero": 0}),
     "day_cumulative_distinct": window_query(group=["distinct_5", "distinct_long_2"], **{**DAY_CONFIG, "keep_late_zero": 0}),
     "day_cumulative_short": window_query(group=["count_4", "sum_4", "distinct_long_2"], size=6 * HOUR, slide=HOUR, start_zero=True),
-    "emit_on_change": window_query(sparse, group=["count_4", "sum_4", "distinct_long_2"], size=3 * HOUR, slide=HOUR, always=False),
-    "always_calculate_grid": window_query(sparse, group=["count_4", "sum_4"], size=3 * HOUR, slide=HOUR),
-    "idle_key_islands": window_query(sparse, group=["count_4", "distinct_long_2"], size=6 * HOUR, slide=HOUR),
-    "keep_old_data": window_query(sparse, group=["count_4", "distinct_long_2"], size=6 * HOUR, slide=HOUR, keep_old=True),
+    "emit_on_change": window_query(group=["count_4", "sum_4", "distinct_long_2"], size=3 * HOUR, slide=HOUR, always=False, **USERS),
+    "always_calculate_grid": window_query(group=["count_4", "sum_4"], size=3 * HOUR, slide=HOUR, **USERS),
+    "idle_key_islands": window_query(group=["count_4", "distinct_long_2"], size=6 * HOUR, slide=HOUR, **USERS),
+    "keep_old_data": window_query(group=["count_4", "distinct_long_2"], size=6 * HOUR, slide=HOUR, keep_old=True, **USERS),
     "field_formats": window_query(group=["count_4"], fields=("key", "key_0", "starttime", "starttime_10", "starttime_13", "endtime", "endtime_10", "endtime_13"), keys=(3, 2), size=2 * HOUR, slide=HOUR),
     "select_where": _select_where,
     "parse_time_forms": _times,
