@@ -69,6 +69,14 @@ def test_secrets(spark, tmp_path):
     assert ledger.scanned().count() == before + len(secrets.RULES)  # only the new blob was due
 
 
+def test_long_url_logins(spark):
+    texts = ["see https://me:abc@h/x", f"see https://{'u' * 65}:{'p' * 9}@h/x", f"see https://me:{'p' * 5000}@h/x", "see https://me:ab@h/x"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan_documents(rows).collect()}
+    want = [f"url_login:12:{t.index('@') + 1}" for t in texts[:3]]
+    assert [got[i] for i in range(4)] == [*want, ""]
+
+
 def test_warc(spark):
     rows = [(1, "u", "same"), (2, "u", "same"), (3, None, None), (None, "u", "same"), (4, "u", "é" * 70_000)]
     got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -47,7 +47,7 @@ MORE_RULES = (
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", r"eyJ[A-Za-z0-9_-]{8}"),
     Rule("forge_token", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}+", "gh[pousr]_"),
     Rule("chat_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+", "xox[abprs]-"),
-    Rule("url_login", r"(?<=://)[A-Za-z0-9._-]{1,64}+:[^\s:@/]{3,64}+@", "://[^/]*@"),
+    Rule("url_login", r"(?<=://)[A-Za-z0-9._-]++:[^\s:@/]{3,}+@", "://[^/]*@", version=2),
 )
 RULES = BASE_RULES + MORE_RULES
 
