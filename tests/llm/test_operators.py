@@ -85,6 +85,16 @@ def test_warc(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_long_headers(spark, monkeypatch):
+    rng = random.Random(2)
+    url = "http://h/" + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_", k=1_500_000))
+    pages = spark.createDataFrame([(1, "u", "a"), (2, url, "b"), (3, "u", "c")], "page_id long, url string, html string")
+    assert {r.page_id: r.url for r in warc.round_trip(pages).collect()} == {1: "u", 2: url, 3: "u"}
+    monkeypatch.setattr(warc, "read_archives", lambda *_: spark.sql("SELECT 'x' AS uri, 'headers' AS gap, CAST(NULL AS BOOLEAN) AS ok, '' AS id, '' AS refers, 0L AS payload_bytes, '' AS digest, '' AS type, '' AS target"))
+    with pytest.raises(Exception, match="record lost"):
+        warc.round_trip(pages).collect()
+
+
 @pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
 def test_near_duplicates(spark, k, percent):
     d = docs(spark)
