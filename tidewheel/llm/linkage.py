@@ -1,23 +1,36 @@
 """Links between items that share a bucket, and their connected groups, without all pairs.
 
-Every pair that can be linked must share a bucket. First each member of a bucket is checked against the
-bucket's hub, its least member; that is one pair a record, however large the bucket. Most buckets are
-then inside one group and done. Buckets that still hold two or more groups are searched for pairs across
-groups, so that no link is lost that would join two groups. Large buckets are searched in blocks.
+Every pair that can be linked must share a bucket. The (bucket, item) records are shuffled once, and a
+bucket's hub, its least member, is found as they stream by in order; buckets of one member end there. Each
+item is then held against its least hub, next against its other hubs outside its group so far: one pair a
+record at most, however large the bucket. Most buckets are then inside one group and done. Those that still
+hold several groups are searched for links across groups, so that no link is lost that would join two.
+Buckets with the same members are searched once; large ones in blocks, and members of a bucket's largest
+group meet only the bucket's other members, not each other.
+
+A bucket may hold any share of the records: buckets that a count over every ``SAMPLE``-th item shows to be
+large are dealt in cells of about ``CELL`` records, each with a hub of its own, and the cells' hubs meet the
+least of them. The count only decides how records are dealt, never which are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.storage import free_shuffles, materialise
+from tidewheel.llm.storage import lean, materialise, maybe_broadcast
 
 #: A bucket above this many members is searched in pairs of blocks of about this size.
 BLOCK = 1000
+#: Buckets with more records than this are dealt in cells.
+CELL = 1 << 14
+SAMPLE = 64
+#: Tables of two or three longs up to this many rows are broadcast.
+SIDE_ROWS = 500_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -49,40 +62,140 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))), F.bit_xor(h)).first())
 
 
+def _members(records: DataFrame) -> DataFrame:
+    """(key, cell, node, hub) of the different nodes of every cell with two or more; cell is -1 where a bucket is one."""
+    spark = records.sparkSession
+    part = records.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("key").count()
+    cells = F.ceil(F.col("count") * SAMPLE / CELL).cast("int")
+    hot = materialise(part.select(F.col("key").alias("hot"), cells.alias("cells")).filter("cells > 1"), "hot-buckets")
+    if hot.isEmpty():
+        dealt = records.withColumn("cell", F.lit(-1))
+    else:
+        cell = F.when(F.col("cells").isNull(), -1).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), "cells")).cast("int")
+        dealt = records.join(maybe_broadcast(hot, SIDE_ROWS), F.col("key") == F.col("hot"), "left").withColumn("cell", cell)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("key", "cell", "node").repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "node")
+    found = materialise(dealt.mapInArrow(lean(_hubs), "key long, cell int, node long, hub long"), "members")
+    if hot.isEmpty():
+        return found
+    # A cell of one node is not in the output; it still has to meet the other cells.
+    alone = records.join(maybe_broadcast(hot, SIDE_ROWS), F.col("key") == F.col("hot")).select("key", F.pmod(F.xxhash64("node", F.lit(1)), "cells").cast("int").alias("cell"), "node")
+    alone = alone.groupBy("key", "cell").agg(F.min("node").alias("node"), F.max("node").alias("top")).filter("node = top")
+    return found.unionByName(alone.select("key", "cell", "node", F.col("node").alias("hub")))
+
+
+_MEMBER = pa.schema([("key", pa.int64()), ("cell", pa.int32()), ("node", pa.int64()), ("hub", pa.int64())])
+
+
+def _hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted (key, cell, node): repeats go, runs of one node go, the others get their first node as hub.
+
+    What is carried from one batch to the next is the last row, its run's hub and whether it was given.
+    """
+    carry: tuple[int, int, int] | None = None
+    carry_hub, given = 0, False
+    for batch in batches:
+        key, cell, node = (batch.column(i).to_numpy() for i in range(3))
+        if not len(key):
+            continue
+        if carry is not None:
+            key, cell, node = (np.concatenate([np.array([c], a.dtype), a]) for c, a in zip(carry, (key, cell, node), strict=True))
+        start = np.ones(len(key), bool)
+        start[1:] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
+        keep = start.copy()
+        keep[1:] |= node[1:] != node[:-1]
+        key, cell, node, start = key[keep], cell[keep], node[keep], start[keep]
+        first = np.flatnonzero(start)
+        size = np.diff(np.append(first, len(key)))
+        hub = node[first]
+        if carry is not None:
+            hub[0] = carry_hub
+        out = np.repeat(size > 1, size)
+        if carry is not None and given:
+            out[0] = False
+        yield pa.RecordBatch.from_arrays([pa.array(a[out]) for a in (key, cell, node, np.repeat(hub, size))], schema=_MEMBER)
+        given = bool(size[-1] > 1 or (given and carry is not None and len(first) == 1))
+        carry, carry_hub = (int(key[-1]), int(cell[-1]), int(node[-1])), int(hub[-1])
+
+
+def _in_comp(df: DataFrame, comp: DataFrame | None, node: str, name: str) -> DataFrame:
+    """``df`` with a column ``name``: the component of ``node``, itself if it has no link."""
+    if comp is None:
+        return df.withColumn(name, F.col(node))
+    c = comp.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+    return df.join(c, F.col(node) == F.col("_n"), "left").withColumn(name, F.coalesce("_c", node)).drop("_n", "_c")
+
+
+def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components after ``links`` are added."""
+    if links.isEmpty():
+        return comp
+    if comp is None:
+        return maybe_broadcast(components(links), SIDE_ROWS)
+    old = comp.filter("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
+    return maybe_broadcast(components(old.unionByName(links.select("a", "b"))), SIDE_ROWS)
+
+
 def groups(records: DataFrame, verify: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, comp) of all linked nodes.
 
     ``records``: (key, node), nodes as longs, repeatable reads. ``verify`` keeps of (a, b) the linked
-    pairs. ``search`` gets (key, i, j, blk, node, comp), rows of block pairs, and gives candidate pairs
-    (a, b) across comps of a block pair.
+    pairs. ``search`` gets (key, i, j, blk, node, comp), rows of block pairs, and gives links (a, b) that
+    join all comps of a block pair between which there is one.
     """
     spark = records.sparkSession
-    hubs = records.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top"))
-    hubs = materialise(hubs.filter("hub < top").select("key", "hub"), "hubs")
-    free_shuffles(spark)
-    members = materialise(records.join(hubs, "key").select("key", "node", "hub").distinct(), "members")
-    free_shuffles(spark)
-    stars = materialise(members.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "stars")
-    links = materialise(verify(stars), "links")
-    comp = components(links)
-    for _ in range(1):
-        at = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        state = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("n"))
-        still = state.filter("low < high and n > 2").select("key", "n")
-        left = materialise(at.join(still, "key").select("key", "n", "node", "comp"), "open")
-        if left.isEmpty():
-            return comp
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    blk = F.pmod(F.xxhash64("node"), parts).cast("int")
-    dealt = left.withColumn("parts", parts).withColumn("blk", blk)
-    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "comp")
-    more = search(dealt).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = materialise(more.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "candidates")
-    found = materialise(verify(more), "links")
-    if found.isEmpty():
-        return comp
-    return components(comp.filter("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found.select("a", "b")))
+    members = _members(records)
+    stars = members.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+    cells = members.filter("cell >= 0").select("key", F.col("hub").alias("a")).distinct()
+    cells = cells.withColumn("b", F.min("a").over(Window.partitionBy("key"))).filter("a != b").select("a", "b")
+    stars = materialise(stars.unionByName(cells).distinct(), "stars")
+    tried = materialise(stars.groupBy("a").agg(F.min("b").alias("b")), "stars-first")
+    comp = _joined(None, materialise(verify(tried), "links"))
+    others = _in_comp(_in_comp(stars.join(tried, ["a", "b"], "left_anti"), comp, "a", "ca"), comp, "b", "cb")
+    others = materialise(others.filter("ca != cb").select("a", "b"), "stars-other")
+    comp = _joined(comp, materialise(verify(others), "links"))
+
+    at = _in_comp(members.select("key", "node"), comp, "node", "comp")
+    many = F.count(F.lit(1)).alias("n")
+    state = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), many, F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("y"))
+    # Buckets with the same members need one search.
+    still = state.filter("low < high and n > 2").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    still = maybe_broadcast(materialise(still.select("key"), "open-buckets"), SIDE_ROWS)
+    left = materialise(at.join(still, "key").select("key", "node", "comp"), "open")
+    if not left.isEmpty():
+        found = materialise(search(_dealt(left)), "links")
+        comp = _joined(comp, found)
+    if comp is None:
+        return spark.createDataFrame([], "node long, comp long")
+    return comp
+
+
+def _dealt(left: DataFrame) -> DataFrame:
+    """(key, i, j, blk, node, comp): the members of open buckets in pairs of blocks; the first blocks hold those outside the largest group."""
+    each = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    size = each.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("n"))
+    parts: Callable[[Column], Column] = lambda n: F.ceil(n / BLOCK).cast("int")
+    size = size.select("key", F.col("top.comp").alias("largest"), parts(F.col("n") - F.col("top.c")).alias("few"), parts(F.col("top.c")).alias("more"))
+    inside = F.col("comp") == F.col("largest")
+    own = F.when(inside, F.col("few") + F.pmod(F.xxhash64("node"), "more")).otherwise(F.pmod(F.xxhash64("node"), "few"))
+    last = F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("more")) - 1
+    rows = left.join(size, "key").withColumn("blk", own.cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select("key", F.least("blk", "o").alias("i"), F.greatest("blk", "o").alias("j"), "blk", "node", "comp")
+
+
+class Union:
+    """Union-find over the places of a block pair's components."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = x = self.up[self.up[x]]
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        self.up[self.find(x)] = self.find(y)
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:

@@ -10,7 +10,8 @@ Exact: every two documents with ``100 * intersection >= percent * union`` are in
 3. In a shard the hub's point is held against the members'; in shards that then hold several components
    an R-tree over the members' count vectors is searched for pairs across components. A pair's bound is
    the sum of coordinate minima.
-4. Pairs that pass the bound are verified on whole token sets.
+4. Pairs that pass the bound are verified on whole token sets, in the shards at once: a search gives only
+   links that join components, not its candidates.
 
 Tokens are 64-bit hashes of shingles. Null or blank texts have empty sets and link with nothing. Rows of
 one doc_id are rows of their own; a null doc_id never names a component unless all its members lack one.
@@ -34,6 +35,8 @@ from tidewheel.llm.wordhash import mix, shingle_sets
 
 SHINGLE = 3
 PERCENT = 90
+#: Groups of the finer bound that pairs of the R-tree pass before their sets are compared.
+FINE = 1024
 
 
 def _classes() -> np.ndarray:
@@ -85,30 +88,47 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+#: How many set names a task remembers, to give a repeated set's keys once.
+SEEN = 1 << 20
+
+
 def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (a 128-bit name of the set; null if empty) and keys, in the shared folder."""
+    """doc_id, n, s1, s2 (a 128-bit name of the set; null if empty), point and keys, in the shared folder.
+
+    Of rows of one task with the same set only the first has keys, so a set that fills a third of the table
+    comes to its shards as one record for each task.
+    """
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("point", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()
         for batch in batches:
             names = batch.column(0).to_pylist()
             for part, sets in _sets(batch, shingle):
-                sums = [(_signed(mix(s).sum(keepdims=True))[0].item(), _signed(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True))[0].item()) if len(s) else (None, None) for s in sets]
-                keys = [_signed(shard_keys(s, percent)) for s in sets]
-                yield pa.RecordBatch.from_pydict(
-                    {"doc_id": [names[i] for i in part], "n": [len(s) for s in sets], "s1": [x[0] for x in sums], "s2": [x[1] for x in sums], "keys": keys}, schema=schema
-                )
+                rows: dict[str, list] = {c: [] for c in schema.names}
+                for i, s in zip(part, sets, strict=True):
+                    sums = (None, None)
+                    if len(s):
+                        sums = (_signed(mix(s).sum(keepdims=True))[0].item(), _signed(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True))[0].item())
+                    new = len(s) > 0 and sums not in seen
+                    if new:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(sums)
+                    for c, v in zip(schema.names, (names[i], len(s), *sums, point(s).tobytes() if new else None, _signed(shard_keys(s, percent)) if new else []), strict=True):
+                        rows[c].append(v)
+                yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialise(rows.mapInArrow(lean(out), "doc_id long, n long, s1 long, s2 long, keys array<long>"), "shingles")
+    return materialise(rows.mapInArrow(lean(out), "doc_id long, n long, s1 long, s2 long, point binary, keys array<long>"), "shingles")
 
 
 def _token_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, tokens, point) of the sets named in ``wanted`` (doc_id, s1), each from one holder."""
+    """(node, tokens) of the sets named in ``wanted`` (doc_id, s1), each from one holder."""
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary()), ("point", pa.binary())])
+        schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
         for batch in batches:
             asked = batch.column(2).to_pylist()
             for part, sets in _sets(batch, shingle):
@@ -116,13 +136,26 @@ def _token_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
                 for i, s in zip(part, sets, strict=True):
                     node = _signed(mix(s).sum(keepdims=True))[0].item() if len(s) else None
                     if node == asked[i]:  # another row of this doc_id has another set
-                        rows.append({"node": node, "tokens": s.tobytes(), "point": point(s).tobytes()})
+                        rows.append({"node": node, "tokens": s.tobytes()})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
+    # Null doc_ids are looked up apart: only rows without a doc_id can hold those sets.
     holder = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    w = maybe_broadcast(wanted.select(F.col("doc_id").alias("holder"), "s1"), 500_000)
-    rows = holder.join(w, F.col("doc_id").eqNullSafe(F.col("holder"))).select("doc_id", "text", "s1")
-    return materialise(rows.mapInArrow(lean(out), "node long, tokens binary, point binary").dropDuplicates(["node"]), "token-sets")
+    named = maybe_broadcast(wanted.filter("doc_id is not null").select(F.col("doc_id").alias("holder"), "s1"), linkage.SIDE_ROWS)
+    rows = holder.join(named, F.col("doc_id") == F.col("holder")).select("doc_id", "text", "s1").mapInArrow(lean(out), "node long, tokens binary")
+    unnamed = wanted.filter("doc_id is null").select("s1")
+    if not unnamed.isEmpty():
+        every = holder.filter("doc_id is null").select("text").mapInArrow(lean(lambda x: _all_sets(x, shingle)), "node long, tokens binary")
+        rows = rows.unionByName(every.join(unnamed, F.col("node") == F.col("s1"), "left_semi"))
+    return materialise(rows.dropDuplicates(["node"]), "token-sets")
+
+
+def _all_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = [(t or "").encode("utf-8", "replace").lower() for t in batch.column(0).to_pylist()]
+        for part in portions(texts):
+            sets = [s for s in shingle_sets([texts[i] for i in part], shingle) if len(s)]
+            yield pa.RecordBatch.from_pydict({"node": [_signed(mix(s).sum(keepdims=True))[0].item() for s in sets], "tokens": [s.tobytes() for s in sets]}, schema=pa.schema([("node", pa.int64()), ("tokens", pa.binary())]))
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -130,25 +163,32 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     spark = docs.sparkSession
     f = features(docs, shingle, percent)
     records = f.select(F.explode("keys").alias("key"), F.col("s1").alias("node"))
-    sets: list[DataFrame] = []
+    have: list[DataFrame] = []
 
     def tokens(nodes: DataFrame) -> DataFrame:
-        """Sets of all nodes that share a shard with another; made once."""
-        if not sets:
-            holders = f.filter("s1 is not null").groupBy("s1").agg(F.min("doc_id").alias("doc_id"))
-            sets.append(_token_sets(docs, materialise(holders.join(nodes, F.col("s1") == F.col("node"), "left_semi"), "holders"), shingle))
-        return sets[0]
+        """Token sets of ``nodes`` at least; each set is made once."""
+        if have:
+            nodes = nodes.join(have[0].select("node"), "node", "left_anti")
+        wanted = f.filter("point is not null").join(nodes, F.col("s1") == F.col("node"), "left_semi").groupBy("s1").agg(F.min("doc_id").alias("doc_id"))
+        more = _token_sets(docs, materialise(wanted, "holders"), shingle)
+        have[:] = [have[0].unionByName(more) if have else more]
+        return have[0]
 
     def verify(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
         nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        t = tokens(nodes)
-        left = t.select(F.col("node").alias("a"), F.col("tokens").alias("ta"), F.col("point").alias("pa"))
-        right = t.select(F.col("node").alias("b"), F.col("tokens").alias("tb"), F.col("point").alias("pb"))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "pa", "pb").mapInArrow(lean(lambda x: _linked(x, percent)), "a long, b long")
+        p = f.filter("point is not null").select(F.col("s1").alias("node"), "point").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+        p = materialise(p, "points")
+        close = pairs.join(p.select(F.col("node").alias("a"), F.col("point").alias("pa")), "a").join(p.select(F.col("node").alias("b"), F.col("point").alias("pb")), "b")
+        close = materialise(close.select("a", "b", "pa", "pb").mapInArrow(lean(lambda x: _allowed(x, percent)), "a long, b long"), "close")
+        t = tokens(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        left, right = t.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), t.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
+        return close.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(lean(lambda x: _linked(x, percent)), "a long, b long")
 
     def search(dealt: DataFrame) -> DataFrame:
-        p = tokens(dealt.select("node").distinct()).select("node", "point")
-        rows = dealt.join(p, "node").select("key", "i", "j", "blk", "node", "comp", "point")
+        t = tokens(dealt.select("node").distinct())
+        rows = dealt.join(t, "node").select("key", "i", "j", "blk", "node", "comp", "tokens")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(lambda x: _searched(x, percent)), "a long, b long")
 
@@ -163,36 +203,70 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs whose whole sets are similar enough; the points' bound goes first."""
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(a: list | np.ndarray, b: list | np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR)
+
+
+def _stacked(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(len(column), -1)
+
+
+def _allowed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose points leave room for the overlap that their sizes ask for."""
     for batch in batches:
-        a, b, ta, tb, pa_, pb = (batch.column(i).to_pylist() for i in range(6))
-        keep = []
-        for k in range(len(a)):
-            x, y = np.frombuffer(ta[k], np.uint64), np.frombuffer(tb[k], np.uint64)
-            need = int(overlap_needed(np.int64(len(x) + len(y)), percent))
-            if int(np.minimum(np.frombuffer(pa_[k], np.int32), np.frombuffer(pb[k], np.int32)).sum()) < need:
-                continue
-            if len(np.intersect1d(x, y, assume_unique=True)) >= need:
-                keep.append(k)
-        yield pa.RecordBatch.from_pydict({"a": [a[k] for k in keep], "b": [b[k] for k in keep]}, schema=_PAIR)
+        if len(batch):
+            x, y = _stacked(batch.column(2)), _stacked(batch.column(3))
+            keep = np.minimum(x, y).sum(1) >= overlap_needed(x.sum(1).astype(np.int64) + y.sum(1), percent)
+            yield _pairs(batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep])
 
 
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _is_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    return len(np.intersect1d(x, y, assume_unique=True)) >= overlap_needed(np.int64(len(x) + len(y)), percent)
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose whole sets are similar enough."""
+    for batch in batches:
+        a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+        keep = [k for k in range(len(a)) if _is_link(np.frombuffer(ta[k], np.uint64), np.frombuffer(tb[k], np.uint64), percent)]
+        yield _pairs([a[k] for k in keep], [b[k] for k in keep])
 
 
 def _searched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs across components that an R-tree search of each block pair allows."""
+    """Links across components of each block pair, as many as join what can be joined.
+
+    The R-tree gives the pairs that the bound allows, a bound over ``FINE`` groups leaves fewer, and whole
+    sets decide; pairs of components that are joined by then are passed over.
+    """
     for t in linkage.runs(batches, 3):
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         node, comp, blk = (t.column(c).to_numpy() for c in ("node", "comp", "blk"))
-        points = np.stack([np.frombuffer(x, np.int32) for x in t.column("point").to_pylist()])
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
+        points = np.stack([point(s) for s in sets])
         one = np.flatnonzero(blk == i)
         two = np.flatnonzero(blk == j) if i != j else one
         q, p = CountRTree(points[one]).search(points[two], percent)
-        a, b = two[q], one[p]
-        keep = (comp[a] != comp[b]) & (node[a] < node[b] if i == j else True)
-        yield pa.RecordBatch.from_arrays([pa.array(node[a[keep]]), pa.array(node[b[keep]])], schema=_PAIR)
+        x, y = two[q], one[p]
+        keep = (comp[x] != comp[y]) & (x < y if i == j else True)
+        x, y = x[keep], y[keep]
+        rows, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        fine = np.stack([point(sets[r], FINE) for r in rows]) if len(rows) else np.empty((0, FINE), np.int32)
+        of = np.unique(comp, return_inverse=True)[1].tolist()
+        joined, a, b = linkage.Union(len(of)), [], []
+        for start in range(0, len(x), 1 << 12):
+            s = slice(start, start + (1 << 12))
+            fx, fy = at[: len(x)][s], at[len(x) :][s]
+            need = overlap_needed(np.array([len(sets[u]) + len(sets[v]) for u, v in zip(x[s], y[s], strict=True)], np.int64), percent)
+            for k in np.flatnonzero(np.minimum(fine[fx], fine[fy]).sum(1) >= need):
+                u, v = int(x[s][k]), int(y[s][k])
+                if joined.find(of[u]) != joined.find(of[v]) and _is_link(sets[u], sets[v], percent):
+                    joined.join(of[u], of[v])
+                    a.append(int(node[u]))
+                    b.append(int(node[v]))
+        yield _pairs(a, b)
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -202,5 +276,5 @@ def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     """
     (name,) = fresh(docs, "gone")
     gone = settled(docs.sparkSession, lambda: components(docs, shingle, percent).filter("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
-    gone = maybe_broadcast(gone, 500_000)
+    gone = maybe_broadcast(gone, linkage.SIDE_ROWS)
     return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
