@@ -2,11 +2,12 @@
 
 Every pair that can be linked must share a bucket. The (bucket, item) records are shuffled once, and a
 bucket's hub, its least member, is found as they stream by in order; buckets of one member end there. Each
-item is then held against its least hub, next against its other hubs outside its group so far: one pair a
-record at most, however large the bucket. Most buckets are then inside one group and done. Those that still
-hold several groups are searched for links across groups, so that no link is lost that would join two.
-Buckets with the same members are searched once; large ones in blocks, and members of a bucket's largest
-group meet only the bucket's other members, not each other.
+item is then held against its least hub, and next against its other hubs outside its group so far: one pair
+a record at most, however large the bucket. Most buckets are then inside one group and done. In those that
+still hold several groups each member meets a few members of other groups, in ``ROUNDS`` rounds of random
+order. What is left open after that, large buckets of items that mostly don't link, is searched for pairs
+across groups in blocks, so that no link is lost that would join two. Buckets with the same members are
+searched once, and members of a bucket's largest group meet only the bucket's other members.
 
 A bucket may hold any share of the records: buckets that a count over every ``SAMPLE``-th item shows to be
 large are dealt in cells of about ``CELL`` records, each with a hub of its own, and the cells' hubs meet the
@@ -19,13 +20,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.storage import lean, materialise, maybe_broadcast
 
 #: A bucket above this many members is searched in pairs of blocks of about this size.
 BLOCK = 1000
+#: How many partners a member of an open bucket meets in each round before the search.
+ROUNDS = (2,)
 #: Buckets with more records than this are dealt in cells.
 CELL = 1 << 14
 SAMPLE = 64
@@ -136,38 +139,62 @@ def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return maybe_broadcast(components(old.unionByName(links.select("a", "b"))), SIDE_ROWS)
 
 
-def groups(records: DataFrame, verify: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def groups(records: DataFrame, prepare: Callable[[DataFrame], None], verify: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, comp) of all linked nodes.
 
-    ``records``: (key, node), nodes as longs, repeatable reads. ``verify`` keeps of (a, b) the linked
-    pairs. ``search`` gets (key, i, j, blk, node, comp), rows of block pairs, and gives links (a, b) that
-    join all comps of a block pair between which there is one.
+    ``records``: (key, node), nodes as longs, repeatable reads. ``prepare`` gets all nodes that share a
+    bucket. ``verify`` keeps of (a, b) the linked pairs. ``search`` gets (key, i, j, blk, node, comp), rows
+    of block pairs, and gives all pairs (a, b) across comps of a block pair that may be links.
     """
     spark = records.sparkSession
     members = _members(records)
+    prepare(materialise(members.select("node").distinct(), "bucket-nodes"))
     stars = members.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     cells = members.filter("cell >= 0").select("key", F.col("hub").alias("a")).distinct()
     cells = cells.withColumn("b", F.min("a").over(Window.partitionBy("key"))).filter("a != b").select("a", "b")
     stars = materialise(stars.unionByName(cells).distinct(), "stars")
-    tried = materialise(stars.groupBy("a").agg(F.min("b").alias("b")), "stars-first")
+    tried = materialise(stars.groupBy("a").agg(F.min("b").alias("b")), "pairs")
     comp = _joined(None, materialise(verify(tried), "links"))
     others = _in_comp(_in_comp(stars.join(tried, ["a", "b"], "left_anti"), comp, "a", "ca"), comp, "b", "cb")
-    others = materialise(others.filter("ca != cb").select("a", "b"), "stars-other")
+    others = materialise(others.filter("ca != cb").select("a", "b"), "pairs")
     comp = _joined(comp, materialise(verify(others), "links"))
+    tried = stars
+    for turn, partners in enumerate(ROUNDS):
+        left = _open(members, comp, ROUNDS[turn - 1] + 1 if turn else 2)
+        if left.isEmpty():
+            return _or_empty(comp, spark)
+        pairs = materialise(_partners(left, partners, turn).join(tried, ["a", "b"], "left_anti"), "pairs")
+        comp = _joined(comp, materialise(verify(pairs), "links"))
+        tried = tried.unionByName(pairs)
+    left = _open(members, comp, ROUNDS[-1] + 1)
+    if not left.isEmpty():
+        pairs = search(_dealt(left)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        comp = _joined(comp, materialise(verify(pairs), "links"))
+    return _or_empty(comp, spark)
+
+
+def _or_empty(comp: DataFrame | None, spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "node long, comp long") if comp is None else comp
+
 
-    at = _in_comp(members.select("key", "node"), comp, "node", "comp")
-    many = F.count(F.lit(1)).alias("n")
-    state = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), many, F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(F.lit((1 << 40) - 1))).alias("y"))
+def _open(members: DataFrame, comp: DataFrame | None, done: int) -> DataFrame:
+    """(key, cell, node, comp) of the buckets that hold several comps and, if dealt in one cell, over ``done`` members."""
+    at = _in_comp(members.select("key", "cell", "node"), comp, "node", "comp")
+    many, low = F.count(F.lit(1)).alias("n"), F.lit((1 << 40) - 1)
+    state = at.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("cell").alias("cell"), many, F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.xxhash64("node", F.lit(1)).bitwiseAND(low)).alias("y"))
     # Buckets with the same members need one search.
-    still = state.filter("low < high and n > 2").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
+    still = state.filter((F.col("low") < F.col("high")) & ((F.col("n") > done) | (F.col("cell") >= 0))).groupBy("n", "x", "y").agg(F.min("key").alias("key"))
     still = maybe_broadcast(materialise(still.select("key"), "open-buckets"), SIDE_ROWS)
-    left = materialise(at.join(still, "key").select("key", "node", "comp"), "open")
-    if not left.isEmpty():
-        found = materialise(search(_dealt(left)), "links")
-        comp = _joined(comp, found)
-    if comp is None:
-        return spark.createDataFrame([], "node long, comp long")
-    return comp
+    return materialise(at.join(still, "key"), "open")
+
+
+def _partners(left: DataFrame, partners: int, turn: int) -> DataFrame:
+    """Pairs (a, b) of each member with those of the next ``partners`` members of its cell that are in another comp."""
+    w = Window.partitionBy("key", "cell").orderBy(F.xxhash64("node", F.lit(turn)), "node")
+    ahead = F.array(*[F.struct(F.lead("node", i).over(w).alias("node"), F.lead("comp", i).over(w).alias("comp")) for i in range(1, partners + 1)])
+    met = left.select("node", "comp", ahead.alias("ahead")).select("node", "comp", F.explode("ahead").alias("o")).filter("o.comp != comp")
+    return met.select(F.greatest("node", "o.node").alias("a"), F.least("node", "o.node").alias("b")).distinct()
 
 
 def _dealt(left: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ Exact: every two documents with ``100 * intersection >= percent * union`` are in
    into more than D token groups, so some non-empty group is equal in both: a node goes to one shard for
    each of its groups, by the hash of the group's tokens. Should too many of a node's groups be empty for
    this, it also takes part in a second hashing, and so on; then so does everything that it may link to.
-3. In a shard the hub's point is held against the members'; in shards that then hold several components
-   an R-tree over the members' count vectors is searched for pairs across components. A pair's bound is
-   the sum of coordinate minima.
-4. Pairs that pass the bound are verified on whole token sets, in the shards at once: a search gives only
-   links that join components, not its candidates.
+3. In a shard members are held against the hub and against a few others; shards that then hold several
+   components are searched for pairs across them with an R-tree over the members' count vectors. A pair's
+   bound is the sum of coordinate minima, first over ``DIMENSIONS`` groups, then over about as many groups
+   as the sets have tokens, which leaves few pairs that don't link.
+4. Pairs that pass the bound are verified on whole token sets, made anew from the two texts.
 
 Tokens are 64-bit hashes of shingles. Null or blank texts have empty sets and link with nothing. Rows of
 one doc_id are rows of their own; a null doc_id never names a component unless all its members lack one.
@@ -28,15 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import linkage
-from tidewheel.llm.rtree import CountRTree, overlap_needed, point
+from tidewheel.llm.rtree import DIMENSIONS, CountRTree, folded, overlap_needed, packed, unpacked
 from tidewheel.llm.storage import bounded_batches, fresh, lean, materialise, maybe_broadcast, settled
 from tidewheel.llm.unitcache import portions
 from tidewheel.llm.wordhash import mix, shingle_sets
 
 SHINGLE = 3
 PERCENT = 90
-#: Groups of the finer bound that pairs of the R-tree pass before their sets are compared.
-FINE = 1024
 
 
 def _classes() -> np.ndarray:
@@ -78,8 +76,8 @@ def shard_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _sets(batch: pa.RecordBatch, shingle: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
-    texts = [(t or "").encode("utf-8", "replace").lower() for t in batch.column(1).to_pylist()]
+def _sets(given: list[str | None], shingle: int) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    texts = [(t or "").encode("utf-8", "replace").lower() for t in given]
     for part in portions(texts):
         yield part, shingle_sets([texts[i] for i in part], shingle)
 
@@ -93,19 +91,19 @@ SEEN = 1 << 20
 
 
 def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (a 128-bit name of the set; null if empty), point and keys, in the shared folder.
+    """doc_id, t (a hash of the text), n, s1, s2 (a 128-bit name of the set; null if empty) and keys, in the shared folder.
 
     Of rows of one task with the same set only the first has keys, so a set that fills a third of the table
     comes to its shards as one record for each task.
     """
     bounded_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("point", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple] = set()
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for part, sets in _sets(batch, shingle):
+            names, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for part, sets in _sets(batch.column(1).to_pylist(), shingle):
                 rows: dict[str, list] = {c: [] for c in schema.names}
                 for i, s in zip(part, sets, strict=True):
                     sums = (None, None)
@@ -116,46 +114,12 @@ def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(sums)
-                    for c, v in zip(schema.names, (names[i], len(s), *sums, point(s).tobytes() if new else None, _signed(shard_keys(s, percent)) if new else []), strict=True):
+                    for c, v in zip(schema.names, (names[i], marks[i], len(s), *sums, _signed(shard_keys(s, percent)) if new else []), strict=True):
                         rows[c].append(v)
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return materialise(rows.mapInArrow(lean(out), "doc_id long, n long, s1 long, s2 long, point binary, keys array<long>"), "shingles")
-
-
-def _token_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """(node, tokens) of the sets named in ``wanted`` (doc_id, s1), each from one holder."""
-
-    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("node", pa.int64()), ("tokens", pa.binary())])
-        for batch in batches:
-            asked = batch.column(2).to_pylist()
-            for part, sets in _sets(batch, shingle):
-                rows = []
-                for i, s in zip(part, sets, strict=True):
-                    node = _signed(mix(s).sum(keepdims=True))[0].item() if len(s) else None
-                    if node == asked[i]:  # another row of this doc_id has another set
-                        rows.append({"node": node, "tokens": s.tobytes()})
-                yield pa.RecordBatch.from_pylist(rows, schema=schema)
-
-    # Null doc_ids are looked up apart: only rows without a doc_id can hold those sets.
-    holder = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    named = maybe_broadcast(wanted.filter("doc_id is not null").select(F.col("doc_id").alias("holder"), "s1"), linkage.SIDE_ROWS)
-    rows = holder.join(named, F.col("doc_id") == F.col("holder")).select("doc_id", "text", "s1").mapInArrow(lean(out), "node long, tokens binary")
-    unnamed = wanted.filter("doc_id is null").select("s1")
-    if not unnamed.isEmpty():
-        every = holder.filter("doc_id is null").select("text").mapInArrow(lean(lambda x: _all_sets(x, shingle)), "node long, tokens binary")
-        rows = rows.unionByName(every.join(unnamed, F.col("node") == F.col("s1"), "left_semi"))
-    return materialise(rows.dropDuplicates(["node"]), "token-sets")
-
-
-def _all_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = [(t or "").encode("utf-8", "replace").lower() for t in batch.column(0).to_pylist()]
-        for part in portions(texts):
-            sets = [s for s in shingle_sets([texts[i] for i in part], shingle) if len(s)]
-            yield pa.RecordBatch.from_pydict({"node": [_signed(mix(s).sum(keepdims=True))[0].item() for s in sets], "tokens": [s.tobytes() for s in sets]}, schema=pa.schema([("node", pa.int64()), ("tokens", pa.binary())]))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("t"))
+    return materialise(rows.mapInArrow(lean(out), "doc_id long, t long, n long, s1 long, s2 long, keys array<long>"), "shingles")
 
 
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -163,36 +127,32 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     spark = docs.sparkSession
     f = features(docs, shingle, percent)
     records = f.select(F.explode("keys").alias("key"), F.col("s1").alias("node"))
-    have: list[DataFrame] = []
+    # Texts of all nodes that share a shard, and their finer points.
+    held: dict[str, DataFrame] = {}
 
-    def tokens(nodes: DataFrame) -> DataFrame:
-        """Token sets of ``nodes`` at least; each set is made once."""
-        if have:
-            nodes = nodes.join(have[0].select("node"), "node", "left_anti")
-        wanted = f.filter("point is not null").join(nodes, F.col("s1") == F.col("node"), "left_semi").groupBy("s1").agg(F.min("doc_id").alias("doc_id"))
-        more = _token_sets(docs, materialise(wanted, "holders"), shingle)
-        have[:] = [have[0].unionByName(more) if have else more]
-        return have[0]
+    def prepare(nodes: DataFrame) -> None:
+        holder = f.join(nodes, F.col("s1") == F.col("node"), "left_semi").groupBy(F.col("s1").alias("node")).agg(F.min(F.struct("doc_id", "t")).alias("h"))
+        holder = maybe_broadcast(materialise(holder.select("node", F.col("h.doc_id").alias("holder"), F.col("h.t").alias("ht")), "holders"), linkage.SIDE_ROWS)
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        at = F.col("doc_id").eqNullSafe(F.col("holder")) & (F.xxhash64("text") == F.col("ht"))
+        held["texts"] = materialise(own.join(holder, at).select("node", "text").dropDuplicates(["node"]), "texts")
+        held["points"] = materialise(held["texts"].mapInArrow(lean(lambda x: _points(x, shingle)), "node long, point binary"), "points")
 
     def verify(pairs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             return pairs
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        p = f.filter("point is not null").select(F.col("s1").alias("node"), "point").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-        p = materialise(p, "points")
+        p, t = held["points"], held["texts"]
         close = pairs.join(p.select(F.col("node").alias("a"), F.col("point").alias("pa")), "a").join(p.select(F.col("node").alias("b"), F.col("point").alias("pb")), "b")
         close = materialise(close.select("a", "b", "pa", "pb").mapInArrow(lean(lambda x: _allowed(x, percent)), "a long, b long"), "close")
-        t = tokens(close.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        left, right = t.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), t.select(F.col("node").alias("b"), F.col("tokens").alias("tb"))
-        return close.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(lean(lambda x: _linked(x, percent)), "a long, b long")
+        left, right = t.select(F.col("node").alias("a"), F.col("text").alias("ta")), t.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+        return close.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(lean(lambda x: _linked(x, shingle, percent)), "a long, b long")
 
     def search(dealt: DataFrame) -> DataFrame:
-        t = tokens(dealt.select("node").distinct())
-        rows = dealt.join(t, "node").select("key", "i", "j", "blk", "node", "comp", "tokens")
+        rows = dealt.join(held["points"], "node").select("key", "i", "j", "blk", "node", "comp", "point")
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(lambda x: _searched(x, percent)), "a long, b long")
 
-    comp = settled(spark, lambda: linkage.groups(records, verify, search), "set-groups")
+    comp = settled(spark, lambda: linkage.groups(records, prepare, verify, search), "set-groups")
     rows = f.select("doc_id", "n", "s1", "s2")
     # A set's rows are one node, named by both halves of its name where the rows are put together.
     same = rows.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
@@ -204,69 +164,71 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
 
 
 _PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+_POINT = pa.schema([("node", pa.int64()), ("point", pa.binary())])
 
 
 def _pairs(a: list | np.ndarray, b: list | np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR)
 
 
-def _stacked(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.int32).reshape(len(column), -1)
+def _points(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        nodes = batch.column(0).to_pylist()
+        for part, sets in _sets(batch.column(1).to_pylist(), shingle):
+            yield pa.RecordBatch.from_pydict({"node": [nodes[i] for i in part], "point": [packed(s) for s in sets]}, schema=_POINT)
 
 
 def _allowed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs whose points leave room for the overlap that their sizes ask for."""
+    """The pairs whose finer points leave room for the overlap that their sizes ask for."""
     for batch in batches:
-        if len(batch):
-            x, y = _stacked(batch.column(2)), _stacked(batch.column(3))
-            keep = np.minimum(x, y).sum(1) >= overlap_needed(x.sum(1).astype(np.int64) + y.sum(1), percent)
-            yield _pairs(batch.column(0).to_numpy()[keep], batch.column(1).to_numpy()[keep])
-
-
-def _is_link(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    return len(np.intersect1d(x, y, assume_unique=True)) >= overlap_needed(np.int64(len(x) + len(y)), percent)
+        a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
+        keep = []
+        for k in range(len(a)):
+            u, v = unpacked(x[k]), unpacked(y[k])
+            least = min(len(u), len(v))
+            if np.minimum(folded(u, least), folded(v, least)).sum() >= overlap_needed(np.int64(u.sum() + v.sum()), percent):
+                keep.append(k)
+        yield _pairs([a[k] for k in keep], [b[k] for k in keep])
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
     """The pairs whose whole sets are similar enough."""
     for batch in batches:
-        a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
-        keep = [k for k in range(len(a)) if _is_link(np.frombuffer(ta[k], np.uint64), np.frombuffer(tb[k], np.uint64), percent)]
-        yield _pairs([a[k] for k in keep], [b[k] for k in keep])
+        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        texts, rows = batch.column(2).to_pylist(), len(batch)
+        found = np.zeros(rows, bool)
+        both = [t for pair in zip(texts, batch.column(3).to_pylist(), strict=True) for t in pair]
+        last: np.ndarray | None = None
+        for part, sets in _sets(both, shingle):
+            for i, s in zip(part, sets, strict=True):
+                if i % 2:
+                    found[i // 2] = len(np.intersect1d(last, s, assume_unique=True)) >= overlap_needed(np.int64(len(last) + len(s)), percent)
+                last = s
+        yield _pairs([a[k] for k in np.flatnonzero(found)], [b[k] for k in np.flatnonzero(found)])
 
 
 def _searched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links across components of each block pair, as many as join what can be joined.
-
-    The R-tree gives the pairs that the bound allows, a bound over ``FINE`` groups leaves fewer, and whole
-    sets decide; pairs of components that are joined by then are passed over.
-    """
+    """Pairs across components of each block pair that the R-tree and then the finer bound allow."""
     for t in linkage.runs(batches, 3):
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         node, comp, blk = (t.column(c).to_numpy() for c in ("node", "comp", "blk"))
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("tokens").to_pylist()]
-        points = np.stack([point(s) for s in sets])
+        finer = [unpacked(x) for x in t.column("point").to_pylist()]
+        groups = min(len(v) for v in finer)
+        fine = np.stack([folded(v, groups) for v in finer])
+        size = fine.sum(1, dtype=np.int64)
+        points = fine.reshape(len(fine), -1, DIMENSIONS).sum(1)
         one = np.flatnonzero(blk == i)
         two = np.flatnonzero(blk == j) if i != j else one
         q, p = CountRTree(points[one]).search(points[two], percent)
         x, y = two[q], one[p]
         keep = (comp[x] != comp[y]) & (x < y if i == j else True)
         x, y = x[keep], y[keep]
-        rows, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-        fine = np.stack([point(sets[r], FINE) for r in rows]) if len(rows) else np.empty((0, FINE), np.int32)
-        of = np.unique(comp, return_inverse=True)[1].tolist()
-        joined, a, b = linkage.Union(len(of)), [], []
-        for start in range(0, len(x), 1 << 12):
-            s = slice(start, start + (1 << 12))
-            fx, fy = at[: len(x)][s], at[len(x) :][s]
-            need = overlap_needed(np.array([len(sets[u]) + len(sets[v]) for u, v in zip(x[s], y[s], strict=True)], np.int64), percent)
-            for k in np.flatnonzero(np.minimum(fine[fx], fine[fy]).sum(1) >= need):
-                u, v = int(x[s][k]), int(y[s][k])
-                if joined.find(of[u]) != joined.find(of[v]) and _is_link(sets[u], sets[v], percent):
-                    joined.join(of[u], of[v])
-                    a.append(int(node[u]))
-                    b.append(int(node[v]))
-        yield _pairs(a, b)
+        fits = np.zeros(len(x), bool)
+        step = max(1, (1 << 22) // groups)
+        for start in range(0, len(x), step):
+            s = slice(start, start + step)
+            fits[s] = np.minimum(fine[x[s]], fine[y[s]]).sum(1) >= overlap_needed(size[x[s]] + size[y[s]], percent)
+        yield _pairs(node[x[fits]], node[y[fits]])
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

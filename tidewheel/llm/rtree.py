@@ -17,6 +17,26 @@ def point(tokens: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
     return np.bincount((tokens >> np.uint64(17)).astype(np.int64) % dimensions, minlength=dimensions).astype(np.int32)
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """A finer point with about a group for each token: a byte for the width of a count, then the counts.
+
+    The number of groups is a power of two, so points of sets of other sizes fold to the same groups.
+    """
+    dimensions = max(DIMENSIONS, 1 << max(0, len(tokens) - 1).bit_length())
+    counts = point(tokens, dimensions)
+    width = 1 if counts.max(initial=0) < 256 else 4
+    return bytes([width]) + counts.astype(np.uint8 if width == 1 else np.int32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if data[0] == 1 else np.int32, offset=1).astype(np.int32)
+
+
+def folded(counts: np.ndarray, dimensions: int) -> np.ndarray:
+    """The point over fewer groups, a power of two of them as well."""
+    return counts.reshape(-1, dimensions).sum(0, dtype=np.int32)
+
+
 def overlap_needed(sizes: np.ndarray, percent: int) -> np.ndarray:
     """Least overlap of two sets with ``sizes`` tokens together: 100 i >= percent (sizes - i)."""
     return -(-sizes * percent // (100 + percent))

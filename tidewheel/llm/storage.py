@@ -135,11 +135,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def small(df: DataFrame, rows: int) -> bool:
-    """Whether a materialised table has at most ``rows`` rows: the check ahead of a broadcast."""
-    return df.limit(rows + 1).count() <= rows
+def small(df: DataFrame, rows: int, width: Column | None = None) -> bool:
+    """Whether a materialised table has at most ``rows`` rows: the check ahead of a broadcast.
+
+    ``width`` is the size of a row in units of a plain one (two or three longs), for rows that hold arrays.
+    """
+    if df.limit(rows + 1).count() > rows:
+        return False
+    return width is None or (df.agg(F.sum(width)).first()[0] or 0) <= rows
 
 
-def maybe_broadcast(df: DataFrame, rows: int = 200_000) -> DataFrame:
+def maybe_broadcast(df: DataFrame, rows: int = 200_000, width: Column | None = None) -> DataFrame:
     """Mark a materialised table for broadcast if it is small, else leave it to a shuffled join."""
-    return F.broadcast(df) if small(df, rows) else df
+    return F.broadcast(df) if small(df, rows, width) else df
