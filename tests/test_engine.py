@@ -125,7 +125,7 @@ def test_idle_keys_over_all_events(spark, name, group, kw):
         assert len(have) == len(want) and have
         assert all(x[:3] == y[:3] and x[3:] == pytest.approx(y[3:], abs=1e-3) for x, y in zip(have, want, strict=True))
 
-    field = oracles.FIELD | {"key_0_2": "g.user_id"}
-    same(queries.QUERIES[name](spark, folder), oracles.window_sql(group, ("key_0_2", "endtime_13"), keys=("user_id",), field=field, **kw))
+    same(queries.QUERIES[name](spark, folder), oracles.ORACLE[name])
     sparse = lambda e: e.filter((F.col("event_type") == "error") & (F.dayofmonth("ts") % 5 == 0))
-    same(queries.window_query(sparse, group=group, slide=HOUR, **kw)(spark, folder), oracles.ORACLE[name])
+    rows = f"SELECT * FROM ({oracles._EVENTS}) WHERE event_type = 'error' AND day(epoch_ms(t)) % 5 = 0"
+    same(queries.window_query(sparse, group=group, slide=HOUR, **kw)(spark, folder), oracles.window_sql(group, rows=rows, **kw))

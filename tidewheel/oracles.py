@@ -4,7 +4,6 @@ from __future__ import annotations
 
 HOUR, DAY, ZONE = 3_600_000, 86_400_000, 28_800_000
 _EVENTS = "SELECT event_id, (epoch_us(ts) // 1000) AS t, user_id, event_type, value, props, user_id::INT AS user_int FROM events"
-_SPARSE = f"SELECT * FROM ({_EVENTS}) WHERE event_type = 'error' AND day(epoch_ms(t)) % 5 = 0"
 _NULLS = f"SELECT * REPLACE (CASE WHEN event_id % 5 <> 0 THEN value END AS value, CASE WHEN event_id % 11 <> 0 THEN user_id END AS user_id) FROM ({_EVENTS})"
 _TEXT = "strftime(make_timestamp(({0} + 28800) * 1000000), '%Y-%m-%d %H:%M:%S')"
 
@@ -20,7 +19,7 @@ AGG = {
     "distinct_int_6": "count(DISTINCT r.user_int)",
     "distinct_long_2": "count(DISTINCT r.user_id)",
 }
-FIELD = {"key_0_3": "g.event_type", "key_0": "g.event_type", "key_1_2": "g.user_id", "key": "g.event_type || ',' || g.user_id", "endtime_13": "g.w - 1", "starttime_13": "g.w - {size}", "endtime_10": "g.w // 1000 - 1", "starttime_10": "(g.w - {size}) // 1000", "endtime": _TEXT.format("g.w // 1000 - 1"), "starttime": _TEXT.format("(g.w - {size}) // 1000")}
+FIELD = {"key_0_3": "g.event_type", "key_0_2": "g.user_id", "key_0": "g.event_type", "key_1_2": "g.user_id", "key": "g.event_type || ',' || g.user_id", "endtime_13": "g.w - 1", "starttime_13": "g.w - {size}", "endtime_10": "g.w // 1000 - 1", "starttime_10": "(g.w - {size}) // 1000", "endtime": _TEXT.format("g.w // 1000 - 1"), "starttime": _TEXT.format("(g.w - {size}) // 1000")}
 
 
 def window_sql(group: list[str], fields: tuple[str, ...] = ("key_0_3", "endtime_13"), size: int = DAY, slide: int = HOUR, keys: tuple[str, ...] = ("event_type",), rows: str = _EVENTS, start_zero: bool = False, always: bool = True, keep_old: bool = False, trigger_late: int = 0, agg: dict[str, str] = AGG, field: dict[str, str] = FIELD) -> str:
@@ -46,6 +45,7 @@ GROUP BY {", ".join(f"g.{x}" for x in keys)}, g.w
 
 
 ALL = ["distinct_5", "distinct_int_6", "distinct_long_2", "count_4", "sum_4"]
+_USERS = {"fields": ("key_0_2", "endtime_13"), "keys": ("user_id",)}
 _DAY = {"size": 25 * HOUR, "start_zero": True}
 _ARRIVAL = f"SELECT *, t + CASE WHEN event_id % 97 = 0 THEN 93600000 WHEN event_id % 7 = 0 THEN 1200000 ELSE 0 END AS arrival FROM ({_EVENTS})"
 _TICK = f"SELECT *, arrival - arrival % {HOUR} + {HOUR} AS tick FROM ({_ARRIVAL})"
@@ -93,10 +93,10 @@ ORACLE: dict[str, str] = {
     "day_cumulative_count_sum": window_sql(["count_4", "sum_4"], **_DAY),
     "day_cumulative_distinct": window_sql(["distinct_5", "distinct_long_2"], **_DAY),
     "day_cumulative_short": window_sql(["count_4", "sum_4", "distinct_long_2"], size=6 * HOUR, start_zero=True),
-    "emit_on_change": window_sql(["count_4", "sum_4", "distinct_long_2"], size=3 * HOUR, rows=_SPARSE, always=False),
-    "always_calculate_grid": window_sql(["count_4", "sum_4"], size=3 * HOUR, rows=_SPARSE),
-    "idle_key_islands": window_sql(["count_4", "distinct_long_2"], size=6 * HOUR, rows=_SPARSE),
-    "keep_old_data": window_sql(["count_4", "distinct_long_2"], size=6 * HOUR, rows=_SPARSE, keep_old=True),
+    "emit_on_change": window_sql(["count_4", "sum_4", "distinct_long_2"], size=3 * HOUR, **_USERS, always=False),
+    "always_calculate_grid": window_sql(["count_4", "sum_4"], size=3 * HOUR, **_USERS),
+    "idle_key_islands": window_sql(["count_4", "distinct_long_2"], size=6 * HOUR, **_USERS),
+    "keep_old_data": window_sql(["count_4", "distinct_long_2"], size=6 * HOUR, **_USERS, keep_old=True),
     "field_formats": window_sql(["count_4"], ("key", "key_0", "starttime", "starttime_10", "starttime_13", "endtime", "endtime_10", "endtime_13"), 2 * HOUR, keys=("event_type", "user_id")),
     "select_where": f"SELECT key_0_3 AS event_type, endtime_13, count_4 AS n, sum_4 AS total FROM ({window_sql(['count_4', 'sum_4'])}) WHERE count_4 > 50",
     "parse_time_forms": f"""
