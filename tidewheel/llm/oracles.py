@@ -60,10 +60,9 @@ y AS (
   SELECT doc_id, source, len(regexp_extract_all(line, '{_BY_SPACE}')) AS n,
     ('0x' || substr(md5(regexp_replace(trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')), '[0-9]+', '0', 'g')), 1, 15))::BIGINT AS h FROM x
 ),
-u AS (SELECT DISTINCT doc_id, source, h FROM y),
-f AS (SELECT u.doc_id, u.source, u.h, coalesce(min(o.h), u.h) AS family FROM u LEFT JOIN u o ON o.doc_id = u.doc_id AND o.h <> u.h GROUP BY u.doc_id, u.source, u.h),
-v AS (SELECT source, h, family, count(*) AS n FROM f GROUP BY ALL),
-t AS (SELECT source, h FROM v GROUP BY ALL HAVING sum(n) - max(n) > 20 AND (sum(n) - max(n)) * 2 >= sum(n)),
+-- Documents of a host with the same set of lines count once.
+c AS (SELECT doc_id, source, string_agg(DISTINCT h::VARCHAR, ',' ORDER BY h::VARCHAR) AS lines FROM y GROUP BY doc_id, source),
+t AS (SELECT y.source, y.h FROM y JOIN c ON c.doc_id = y.doc_id AND c.source IS NOT DISTINCT FROM y.source GROUP BY ALL HAVING count(DISTINCT c.lines) > 20),
 e AS (SELECT doc_id, sum(n) AS n FROM y JOIN t ON t.source IS NOT DISTINCT FROM y.source AND t.h = y.h GROUP BY doc_id),
 m AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda a: length(a))), 0)::BIGINT AS word_chars,
