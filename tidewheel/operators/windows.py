@@ -50,7 +50,7 @@ def panes(r: DataFrame, cfg: WindowConfig, sign: str | None = None) -> DataFrame
             parts.append(F.sum(F.when(v.isNotNull(), s).otherwise(0)).cast("long").alias(f"_a{n}"))
         elif a.fn == "sum":
             parts.append(F.coalesce(F.sum(v * s), F.lit(0.0)).alias(f"_a{n}"))
-    return r.groupBy(*_keys(cfg), "pane").agg(F.max(s).alias("_live"), *parts)
+    return r.groupBy(*_keys(cfg), "pane").agg(F.max(s).alias("_live"), F.min("t").alias("_from"), *parts)
 
 
 def grid(p: DataFrame, cfg: WindowConfig) -> DataFrame:
@@ -63,14 +63,14 @@ def grid(p: DataFrame, cfg: WindowConfig) -> DataFrame:
     idle = (cfg.split + 2) * cfg.slide + cfg.lateness
     if cfg.keep_old:
         last = p.agg(F.max("pane").alias("last"))
-        spans = p.groupBy(*keys).agg(F.min("pane").alias("first")).crossJoin(F.broadcast(last)).withColumn("island", F.lit(0).cast("long"))
+        spans = p.groupBy(*keys).agg(F.min("pane").alias("first"), F.min("_from").alias("from")).crossJoin(F.broadcast(last)).withColumn("island", F.lit(0).cast("long"))
         end = F.col("last") + cfg.slide
     else:
-        new = F.when(F.col("pane") - F.lag("pane").over(w) >= idle, 1).otherwise(0)
-        marked = p.select(*keys, "pane", new.alias("_new")).withColumn("island", F.sum("_new").over(w))
-        spans = marked.groupBy(*keys, "island").agg(F.min("pane").alias("first"), F.max("pane").alias("last"))
+        new = F.when(F.col("_from") - F.lag("pane").over(w) >= idle, 1).otherwise(0)
+        marked = p.select(*keys, "pane", "_from", new.alias("_new")).withColumn("island", F.sum("_new").over(w))
+        spans = marked.groupBy(*keys, "island").agg(F.min("pane").alias("first"), F.min("_from").alias("from"), F.max("pane").alias("last"))
         end = F.col("last") + (cfg.split + 2) * cfg.slide
-    first = floor_to(F.col("first") + cfg.trigger_late, cfg.slide) + cfg.slide
+    first = floor_to(F.col("from") + cfg.trigger_late, cfg.slide) + cfg.slide
     ends = F.when(end >= first, F.sequence(F.col("first") + cfg.slide, end, F.lit(cfg.slide)))
     out = spans.select(*keys, "island", first.alias("due"), F.explode(ends).alias("end"))
     return out

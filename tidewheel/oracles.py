@@ -22,19 +22,19 @@ AGG = {
 FIELD = {"key_0_3": "g.event_type", "key_0_2": "g.user_id", "key_0": "g.event_type", "key_1_2": "g.user_id", "key": "g.event_type || ',' || g.user_id", "endtime_13": "g.w - 1", "starttime_13": "g.w - {size}", "endtime_10": "g.w // 1000 - 1", "starttime_10": "(g.w - {size}) // 1000", "endtime": _TEXT.format("g.w // 1000 - 1"), "starttime": _TEXT.format("(g.w - {size}) // 1000")}
 
 
-def window_sql(group: list[str], fields: tuple[str, ...] = ("key_0_3", "endtime_13"), size: int = DAY, slide: int = HOUR, keys: tuple[str, ...] = ("event_type",), rows: str = _EVENTS, start_zero: bool = False, always: bool = True, keep_old: bool = False, trigger_late: int = 0, agg: dict[str, str] = AGG, field: dict[str, str] = FIELD) -> str:
+def window_sql(group: list[str], fields: tuple[str, ...] = ("key_0_3", "endtime_13"), size: int = DAY, slide: int = HOUR, keys: tuple[str, ...] = ("event_type",), rows: str = _EVENTS, start_zero: bool = False, always: bool = True, keep_old: bool = False, trigger_late: int = 0, lateness: int = 0, agg: dict[str, str] = AGG, field: dict[str, str] = FIELD) -> str:
     split = size // slide
     reach = split * slide
     k = ", ".join(keys)
     day = f" AND {sod('(g.w - 1)')} <= r.p AND r.p <= {sod('(g.w - 1)')} + {DAY - slide}" if start_zero else ""
     last = f"(SELECT max(p) FROM kp) + {slide}" if keep_old else f"max(p) + {(split + 2) * slide}"
-    island = "0" if keep_old else f"CASE WHEN p - lag(p) OVER (PARTITION BY {k} ORDER BY p) >= {(split + 2) * slide} THEN 1 ELSE 0 END"
-    first = f"((min(p) + {trigger_late}) // {slide}) * {slide} + {slide}"
+    island = "0" if keep_old else f"CASE WHEN f - lag(p) OVER (PARTITION BY {k} ORDER BY p) >= {(split + 2) * slide + lateness} THEN 1 ELSE 0 END"
+    first = f"((min(f) + {trigger_late}) // {slide}) * {slide} + {slide}"
     changed = "" if always else f" WHERE EXISTS (SELECT 1 FROM kp WHERE {' AND '.join(f'kp.{x} = g0.{x}' for x in keys)} AND (kp.p + {slide} = g0.w OR kp.p + {reach + slide} = g0.w))"
     outs = [f"{field[f].format(size=size)} AS {f}" for f in fields] + [f"{agg[a]} AS {a}" for a in group]
     return f"""
 WITH r0 AS ({rows}), r AS (SELECT *, t - t % {slide} AS p FROM r0),
-kp AS (SELECT DISTINCT {k}, p FROM r),
+kp AS (SELECT {k}, p, min(t) AS f FROM r GROUP BY {k}, p),
 m AS (SELECT *, {island} AS n FROM kp),
 i AS (SELECT *, sum(n) OVER (PARTITION BY {k} ORDER BY p) AS island FROM m),
 g0 AS (SELECT {k}, unnest(range({first}, {last} + 1, {slide})) AS w FROM i GROUP BY {k}, island),
@@ -70,11 +70,10 @@ def _resolved(pick: str, rows: str = _DUP) -> str:
     return f"SELECT hkey, field, {pick}(value, event_id) AS value FROM ({rows}) GROUP BY hkey, field"
 
 
-
-def _retracted(group: list[str]) -> str:
+def _retracted(group: list[str], **kw) -> str:
     """Rows that are taken back count for the grid and for nothing else."""
     agg = {a: s.replace("r.value", "(CASE WHEN r.event_id % 13 <> 0 THEN r.value END)").replace("r.user_id", "(CASE WHEN r.event_id % 13 <> 0 THEN r.user_id END)").replace("r.props", "(CASE WHEN r.event_id % 13 <> 0 THEN r.props END)") for a, s in AGG.items()}
-    return window_sql(group, agg=agg)
+    return window_sql(group, agg=agg, **kw)
 
 
 _CHAIN = f"SELECT key_0_3 AS event_type, endtime_13 AS t, count_4 FROM ({window_sql(['count_4'], size=HOUR)})"
@@ -125,6 +124,7 @@ SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHER
     "late_upsert": _REVISIONS + 'SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY event_type, "end" ORDER BY tick DESC) = 1',
     "midnight_cutoff": f"SELECT event_type, {sod('t')} AS day, count(*) AS n FROM ({_ADMITTED}) GROUP BY ALL",
     "trigger_late_first_tick": window_sql(["count_4", "sum_4"], trigger_late=5 * HOUR),
+    "lateness_and_trigger": window_sql(["count_4", "sum_4", "distinct_long_2"], size=6 * HOUR, trigger_late=90 * 60_000, lateness=30 * 60_000, **_USERS),
     "buffer_chain": window_sql(
         ["count_2", "sum_2"], ("key_0", "endtime_13"), 6 * HOUR, rows=_CHAIN, agg={"count_2": "count(r.count_4)", "sum_2": "round(coalesce(sum(r.count_4::DOUBLE), 0.0), 4)"}
     ),
@@ -139,9 +139,8 @@ SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHER
         agg={"distinct_long_2": "count(DISTINCT r.l_suppkey)", "count_3": "count(r.l_quantity)", "sum_3": "round(coalesce(sum(r.l_quantity), 0.0), 4)"},
         field={"key_0_0": "g.l_returnflag", "endtime_13": "g.w - 1"},
     ),
-    # Windows of the stream end with each key's last row.
-    "stream_equals_batch": f"""
-SELECT s.* FROM ({window_sql(["count_4", "sum_4", "distinct_long_2"])}) s
-JOIN (SELECT event_type, max((epoch_us(ts) // 1000)) AS last FROM events GROUP BY event_type) l ON l.event_type = s.key_0_3 AND s.endtime_13 + 1 <= l.last
-""",
+    "stream_equals_batch": window_sql(["count_4", "sum_4", "distinct_long_2"]),
+    "stream_late_recount": window_sql(["count_4", "sum_4", "distinct_long_2"], rows=_ADMITTED, **_DAY),
+    "stream_lateness": window_sql(["count_4", "sum_4", "distinct_long_2"], size=6 * HOUR, trigger_late=90 * 60_000, lateness=30 * 60_000),
+    "stream_retraction": _retracted(["count_4", "sum_4", "distinct_long_2"], **_DAY),
 }

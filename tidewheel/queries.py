@@ -158,26 +158,57 @@ def _lineitem(s: SparkSession, d: str) -> DataFrame:
 STREAM = {"group": ["count_4", "sum_4", "distinct_long_2"], "fields": ("key_0_3", "endtime_13"), "size": DAY, "slide": HOUR}
 
 
-def _stream(s: SparkSession, d: str) -> DataFrame:
-    """The stream operator over files in order of time; the same windows as in batch up to the last row."""
-    from tidewheel.streaming.processor import windowed_stream
+def streamed(rows: DataFrame, cfg: WindowConfig, clock: str, sign: str | None = None) -> DataFrame:
+    """(keys, end, aggregates, tick): all that the stream operator gives for ``rows``, which come in by ``clock``.
 
+    The rows are written in stretches of time; after each the query runs on from its checkpoint until all is
+    read. The last stretch is one row of the key ``~`` long after all others, whose time lets the timers fire.
+    """
+    from tidewheel.streaming.processor import revised_stream
+
+    s = rows.sparkSession
     s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = shared_folder(s, "stream")
-    e = events(s, d)
-    # Files come in by their time of writing, so four stretches of time are written one after another.
-    low, high = e.agg(F.min(F.unix_millis("ts")), F.max(F.unix_millis("ts"))).first()
-    stretch = F.least(F.floor((F.unix_millis("ts") - low) * 4 / (high - low + 1)), F.lit(3))
-    for i in range(4):
-        e.filter(stretch == i).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    source = s.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    low, high = rows.agg(F.min(clock), F.max(clock)).first()
+    if low is None:
+        low = high = 0
+    stretch = F.least(F.floor((F.col(clock) - low) * 2 / (high - low + 1)), F.lit(1))
+    key = rows.columns[cfg.key_fields[0]]
+    after = high + 2 * cfg.reach + cfg.lateness + 90 * DAY
+    last = s.range(1).select(*[
+        F.lit("~").alias(f.name) if f.name == key else F.lit(after).alias(f.name) if f.name == clock
+        else F.timestamp_millis(F.lit(after)).alias(f.name) if f.name == rows.columns[cfg.time_field]
+        else F.lit(1).alias(f.name) if f.name == sign else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema
+    ])
 
     def put(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={epoch}")
 
-    done = windowed_stream(source, config(**STREAM))
-    done.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return rounded(s.read.parquet(f"{folder}/out").drop("batch"))
+    for part in [*[rows.filter(stretch == i) for i in range(2)], last]:
+        part.write.mode("append").parquet(f"{folder}/in")
+        source = s.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        done = revised_stream(source, cfg, clock=clock, sign=sign).filter("_k0 != '~'")
+        done.writeStream.foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{folder}/out").drop("batch")
+
+
+def _stream(s: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], sign: str | None = None, **kw) -> DataFrame:
+    """The last revision of every window that the stream gives, in the form of the batch query."""
+    cfg = config(**kw)
+    return rounded(windows.output(replay.latest(streamed(make(events(s, d)), cfg, "arrival", sign), ["_k0"]), cfg))
+
+
+def on_time(e: DataFrame) -> DataFrame:
+    return e.withColumn("arrival", F.unix_millis("ts"))
+
+
+def taken_back(e: DataFrame) -> DataFrame:
+    """All rows on time, and every 13th once more two hours later with the sign of a retraction."""
+    back = e.filter("event_id % 13 = 0").withColumn("arrival", F.unix_millis("ts") + 2 * HOUR).withColumn("sign", F.lit(-1))
+    return on_time(e).withColumn("sign", F.lit(1)).unionByName(back)
+
+
+STREAM = {"group": ["count_4", "sum_4", "distinct_long_2"]}
 
 
 ALL = ["distinct_5", "distinct_int_6", "distinct_long_2", "count_4", "sum_4"]
@@ -216,10 +247,14 @@ QUERIES: dict[str, Query] = {
     "late_upsert": lambda s, d: _revisions(s, d, True),
     "midnight_cutoff": _cutoff,
     "trigger_late_first_tick": window_query(group=["count_4", "sum_4"], trigger_late=5 * HOUR),
+    "lateness_and_trigger": window_query(group=["count_4", "sum_4", "distinct_long_2"], size=6 * HOUR, slide=HOUR, trigger_late=90 * 60_000, lateness=30 * 60_000, **USERS),
     "buffer_chain": _buffer_chain,
     "bitmap_distinct": _bitmap,
     "lineitem_daily_distinct_supplier": _lineitem,
-    "stream_equals_batch": _stream,
+    "stream_equals_batch": lambda s, d: _stream(s, d, on_time, **STREAM),
+    "stream_late_recount": lambda s, d: _stream(s, d, late, **STREAM, **DAY_CONFIG),
+    "stream_lateness": lambda s, d: _stream(s, d, on_time, **STREAM, lateness=30 * 60_000, size=6 * HOUR, trigger_late=90 * 60_000),
+    "stream_retraction": lambda s, d: _stream(s, d, taken_back, "sign", **STREAM, **DAY_CONFIG),
 }
 
 

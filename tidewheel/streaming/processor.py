@@ -1,14 +1,21 @@
-"""Windows over a stream: panes and clocks in checkpointed state, ticks driven by event time.
+"""Windows over a stream: panes and clocks in checkpointed state, ticks driven by timers.
 
-Rows of a batch are folded in order of time, and what is due before a row is given before the row is
-folded, so results don't depend on how the stream is cut into batches. A tick reads the panes of its
-window only; panes that left all windows are deleted; a key that stays empty for ``split + 1`` ticks is
-forgotten.
+A key's clock is the arrival time of its rows and, between them, the stream's watermark (or the wall clock in
+processing-time mode): timers give the windows that are due though no row of the key comes. Rows are folded
+in order of arrival, and what is due before a row is given before the row is folded, so results don't depend
+on how the stream is cut into batches.
+
+A late or retracted row marks the windows of its day that were given without it; they are given again at the
+next tick, after the tick's own window is due, in order. Panes that no window can ask for any more are
+deleted; a key is forgotten ``split + 2`` ticks after its last pane.
+
+State is typed and per pane: a count and a sum for each aggregate, and a number of occurrences for each distinct
+value. A call reads a key's state once, moves a running window over it and writes back the panes that changed.
 """
 
 from __future__ import annotations
 
-import json
+import math
 from collections.abc import Iterator
 from typing import Any
 
@@ -22,100 +29,276 @@ from tidewheel.operators import windows as W
 from tidewheel.plans.config import WindowConfig
 
 
+class _Panes:
+    """A key's state in memory; remembers which entries of the panes changed."""
+
+    def __init__(self, panes: Any, refs: Any, clock: Any, again: Any):
+        #: The next tick, the first one, the last pane and the arrival of the last row; None for an unknown key.
+        self.clock: tuple[int, int, int, int] | None = tuple(clock.get()) if clock.exists() else None
+        #: The windows that are to be given again.
+        self.again: set[int] = {w for (w,), _ in again.iterator()}
+        self.totals: dict[int, dict[int, list]] = {}
+        self.values: dict[int, dict[int, dict[str, int]]] = {}
+        self.changed: set[tuple] = set()
+        for (pane, n), (count, total) in panes.iterator():
+            self.totals.setdefault(pane, {})[n] = [count, total]
+        for (pane, n, value), (times,) in refs.iterator():
+            self.values.setdefault(pane, {}).setdefault(n, {})[value] = times
+
+    def add(self, pane: int, n: int, count: int, total: float) -> None:
+        at = self.totals.setdefault(pane, {}).setdefault(n, [0, 0.0])
+        at[0], at[1] = at[0] + count, at[1] + total
+        self.changed.add((pane, n))
+
+    def refer(self, pane: int, n: int, value: str, times: int) -> None:
+        at = self.values.setdefault(pane, {}).setdefault(n, {})
+        # A value that was never added can't be taken back.
+        at[value] = max(0, at.get(value, 0) + times)
+        self.changed.add((pane, n, value))
+
+    def forget(self, pane: int) -> None:
+        for n in self.totals.pop(pane, {}):
+            self.changed.add((pane, n))
+        for n, at in self.values.pop(pane, {}).items():
+            self.changed.update((pane, n, v) for v in at)
+
+    def save(self, panes: Any, refs: Any, clock: Any, again: Any) -> None:
+        if self.clock is not None:
+            clock.update(self.clock)
+        elif clock.exists():
+            clock.clear()
+        again.clear()
+        for w in self.again:
+            again.updateValue((w,), (True,))
+        for entry in self.changed:
+            if len(entry) == 2:
+                at = self.totals.get(entry[0], {}).get(entry[1])
+                if at is not None:
+                    panes.updateValue(entry, tuple(at))
+                elif panes.containsKey(entry):
+                    panes.removeKey(entry)
+            else:
+                times = self.values.get(entry[0], {}).get(entry[1], {}).get(entry[2], 0)
+                if times:
+                    refs.updateValue(entry, (times,))
+                elif refs.containsKey(entry):
+                    refs.removeKey(entry)
+
+
 class WindowProcessor(StatefulProcessor):
-    def __init__(self, cfg: WindowConfig, n_keys: int):
-        self.cfg, self.n_keys = cfg, n_keys
+    def __init__(self, cfg: WindowConfig, n_keys: int, processing: bool, idle_ms: int | None):
+        self.cfg, self.n_keys, self.processing, self.idle_ms = cfg, n_keys, processing, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.panes = handle.getMapState("panes", "pane long", "partial string")
-        self.clock = handle.getValueState("clock", "due long, empty long")
+        ttl = {"ttlDurationMs": self.idle_ms} if self.idle_ms and self.processing else {}
+        self.handle = handle
+        self.panes = handle.getMapState("panes", "pane long, n int", "count long, total double", **ttl)
+        self.refs = handle.getMapState("refs", "pane long, n int, value string", "times long", **ttl)
+        self.clock = handle.getValueState("clock", "due long, first long, last long, seen long", **ttl)
+        self.again = handle.getMapState("again", "window long", "marked boolean", **ttl)
 
     def _day(self, ms: int) -> int:
         return ms - (ms + self.cfg.zone_ms) % DAY_MS
 
-    def _merge(self, end: int) -> tuple[list[Any], bool, bool]:
-        """The values of the window that ends at ``end``; whether panes came or went; whether any is left."""
-        cfg = self.cfg
-        totals: list[Any] = [set() if a.is_distinct else 0 if a.fn == "count" else 0.0 for a in cfg.group.aggregates]
-        moved, held, old = False, False, []
-        for (pane,), (text,) in self.panes.iterator():
-            back = (end - pane) // cfg.slide
-            if back > cfg.split:
-                old.append(pane)
-                moved |= back == cfg.split + 1
-                continue
-            held = True
-            moved |= back == 1
-            if back < 1 or cfg.start_zero and not self._day(end - 1) <= pane <= self._day(end - 1) + DAY_MS - cfg.slide:
-                continue
-            for n, part in enumerate(json.loads(text)):
-                if cfg.group.aggregates[n].is_distinct:
-                    totals[n].update(part)
+    def _first(self, end: int) -> int:
+        """The first pane of the window that ends at ``end``."""
+        first = end - self.cfg.reach
+        return max(first, self._day(end - 1)) if self.cfg.start_zero else first
+
+    def _whole(self, pane: int) -> bool:
+        """Whether a pane is of one day; one across midnight belongs to no day."""
+        return not self.cfg.start_zero or self._day(pane) == self._day(pane + self.cfg.slide - 1)
+
+    def _inside(self, held: _Panes, end: int) -> list[int]:
+        slide, first = self.cfg.slide, self._first(end)
+        low = -(-first // slide) * slide
+        if (end - low) // slide <= 4 * len(held.totals):
+            return [p for p in range(low, end, slide) if p in held.totals and self._whole(p)]
+        return sorted(p for p in held.totals if low <= p < end and self._whole(p))
+
+    def _value(self, held: _Panes, end: int, running: dict | None) -> list[Any]:
+        """The aggregates of a window; ``running`` holds the distinct values of the one before it."""
+        inside = self._inside(held, end)
+        out: list[Any] = []
+        for n, a in enumerate(self.cfg.group.aggregates):
+            if a.is_distinct:
+                if running is not None:
+                    out.append(len(self._advance(held, end, inside, running, n)))
                 else:
-                    totals[n] += part
-        for pane in old:
-            self.panes.removeKey((pane,))
-        return [len(t) if isinstance(t, set) else t for t in totals], moved, held
+                    out.append(len({v for p in inside for v, t in held.values.get(p, {}).get(n, {}).items() if t > 0}))
+            elif a.fn == "count":
+                out.append(sum(held.totals[p].get(n, (0, 0))[0] for p in inside))
+            else:
+                parts = [held.totals[p].get(n, (0, 0.0))[1] for p in inside]
+                out.append(math.fsum(parts) if all(map(math.isfinite, parts)) else float(sum(parts)))
+        return out
+
+    def _advance(self, held: _Panes, end: int, inside: list[int], running: dict, n: int) -> dict[str, int]:
+        """How many panes of the window hold each value, from the last window's by the panes that came and went."""
+        before, live = running.get(n, (frozenset(), {}))
+        now = frozenset(inside)
+        for p in before - now:
+            for v, t in held.values.get(p, {}).get(n, {}).items():
+                if t > 0:
+                    live[v] -= 1
+                    if not live[v]:
+                        del live[v]
+        for p in now - before:
+            for v, t in held.values.get(p, {}).get(n, {}).items():
+                if t > 0:
+                    live[v] = live.get(v, 0) + 1
+        running[n] = (now, live)
+        return live
 
-    def _fire(self, key: tuple, until: int) -> Iterator[tuple]:
+    def _fire(self, key: tuple, held: _Panes, running: dict, until: int) -> Iterator[tuple]:
         """Give all windows that are due at ``until``."""
         cfg = self.cfg
-        while self.clock.exists():
-            due, empty = self.clock.get()
+        keep = cfg.reach + (max(cfg.reach, DAY_MS) if cfg.recount else 0)
+        while held.clock is not None:
+            due, first, last, seen = held.clock
             if due + cfg.lateness > until:
                 return
-            values, moved, held = self._merge(due)
-            if cfg.always or moved:
-                yield (*key, due, *values)
-            empty = 0 if held else empty + 1
-            if not cfg.keep_old and empty > cfg.split:
-                self.clock.clear()
-                self.panes.clear()
+            marked = sorted(held.again)
+            for w in marked:
+                if w < due:
+                    yield (*key, w, *self._value(held, w, None), due)
+            held.again.clear()
+            if cfg.always or due in marked or due - cfg.slide in held.totals or due - cfg.reach - cfg.slide in held.totals:
+                yield (*key, due, *self._value(held, due, running), due)
+            for p in [p for p in held.totals if p < due - keep]:
+                if any(p in inside for inside, _ in running.values()):
+                    running.clear()
+                held.forget(p)
+            idle = self.idle_ms is not None and due - seen > self.idle_ms
+            if idle or not cfg.keep_old and due >= last + (cfg.split + 2) * cfg.slide:
+                for p in list(held.totals) + list(held.values):
+                    held.forget(p)
+                running.clear()
+                held.clock = None
                 return
-            self.clock.update((due + cfg.slide, empty))
-
-    def _fold(self, row: dict[str, Any]) -> None:
-        cfg, pane = self.cfg, int(row["pane"])
-        if not self.clock.exists():
-            first = row["t"] + cfg.trigger_late
-            self.clock.update((int(first - first % cfg.slide + cfg.slide), 0))
-        due = self.clock.get()[0]
-        if cfg.start_zero and due - row["t"] > cfg.late_limit and self._day(due) > self._day(row["t"]):
-            return
-        old = self.panes.getValue((pane,)) if self.panes.containsKey((pane,)) else None
-        parts = json.loads(old[0]) if old else [[] if a.is_distinct else 0 for a in cfg.group.aggregates]
-        for n, a in enumerate(cfg.group.aggregates):
-            v = row["values"][f"_v{n}"]
-            if v is None or v != v:
-                continue
-            if a.fn == "count":
-                parts[n] += 1
-            elif a.fn == "sum":
-                parts[n] += float(v)
-            elif (v := str(v) if a.fn == "distinct" else int(v)) not in parts[n]:
-                parts[n].append(v)
-        self.panes.updateValue((pane,), (json.dumps(parts),))
+            held.clock = (due + cfg.slide, first, last, seen)
+
+    def _fold(self, held: _Panes, running: dict, rows: pd.DataFrame, tick: int) -> None:
+        """Add rows whose next tick is ``tick``."""
+        cfg = self.cfg
+        sign = rows["sign"].to_numpy()
+        if held.clock is None:
+            if not (sign > 0).any():
+                return  # nothing to take back
+            start = int(rows["clock"].to_numpy()[sign > 0][0]) + cfg.trigger_late
+            due = start - start % cfg.slide + cfg.slide
+            held.clock = (due, due, int(rows["pane"].to_numpy()[sign > 0].max()), int(rows["clock"].max()))
+        due, first, last, seen = held.clock
+        if cfg.start_zero:
+            late = [s > 0 and tick - t > cfg.late_limit and self._day(tick) > self._day(t) for s, t in zip(sign, rows["t"], strict=True)]
+            rows = rows[[not x for x in late]]
+        for pane, own in rows.groupby("pane", sort=True):
+            pane = int(pane)
+            added = own["sign"].to_numpy() > 0
+            if not added.any() and pane not in held.totals:
+                continue  # what is taken back was never added
+            if due > pane + cfg.slide:  # its own window was given without it, or is about to be
+                running.clear()
+                if cfg.recount or not added.all():
+                    stop = min(self._day(pane) + DAY_MS, due)
+                    held.again.update(range(max(pane + cfg.slide, first), stop + 1, cfg.slide))
+            held.totals.setdefault(pane, {})
+            held.add(pane, -1, 0, 0.0)
+            for n, a in enumerate(cfg.group.aggregates):
+                v = own[f"v{n}"]
+                if a.is_distinct:
+                    for (value, s), times in own[v.notna()].groupby([f"v{n}", "sign"]).size().items():
+                        held.refer(pane, n, str(value), int(times) * int(s))
+                elif a.fn == "count":
+                    held.add(pane, n, int(v.sum()), 0.0)
+                else:
+                    held.add(pane, n, 0, float(v.sum(skipna=False)))
+            if added.any():
+                last = max(last, pane)
+        if len(rows):
+            held.clock = (due, first, last, max(seen, int(rows["clock"].max())))
+
+    def _load(self) -> _Panes:
+        return _Panes(self.panes, self.refs, self.clock, self.again)
+
+    def _save(self, held: _Panes) -> None:
+        """Write the state back and set one timer, at the next tick."""
+        held.save(self.panes, self.refs, self.clock, self.again)
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if held.clock is not None:
+            self.handle.registerTimer(int(held.clock[0] + self.cfg.lateness))
+
+    def _frame(self, out: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(out, columns=[*[f"_k{i}" for i in range(self.n_keys)], "end", *[f"_a{n}" for n in range(len(self.cfg.group.aggregates))], "tick"])
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("t", kind="stable")
-        out: list[tuple] = []
-        for row in batch.to_dict("records"):
-            out += self._fire(key, int(row["t"]))
-            self._fold(row)
-        yield pd.DataFrame(out, columns=[*[f"_k{i}" for i in range(self.n_keys)], "end", *[f"_a{n}" for n in range(len(self.cfg.group.aggregates))]])
+        batch = pd.concat(list(rows))
+        if self.processing:
+            batch["clock"] = timerValues.getCurrentProcessingTimeInMs()
+        batch = batch.sort_values("clock", kind="stable")
+        after = batch["clock"] - self.cfg.lateness
+        batch["tick"] = after - after % self.cfg.slide + self.cfg.slide
+        held, running, out = self._load(), {}, []
+        for tick, own in batch.groupby("tick", sort=True):
+            out += self._fire(key, held, running, int(own["clock"].iloc[0]))
+            self._fold(held, running, own, int(tick))
+        self._save(held)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentProcessingTimeInMs() if self.processing else timerValues.getCurrentWatermarkInMs()
+        held = self._load()
+        out = list(self._fire(key, held, {}, int(now)))
+        self._save(held)
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
-def windowed_stream(df: DataFrame, cfg: WindowConfig) -> DataFrame:
-    """The streaming form of ``operators.windows.windowed``; a key's windows follow its own rows' times."""
-    r = W.rows(df, cfg)
+def stream_rows(df: DataFrame, cfg: WindowConfig, clock: str | None = None, sign: str | None = None) -> DataFrame:
+    """Keys, t, pane, clock, sign and a value for each aggregate, as the processor takes them.
+
+    ``clock`` names a column of epoch milliseconds at which a row came in; without it, its own time is taken.
+    ``sign`` is 1, or -1 for a row that takes back what an earlier one added.
+    """
+    extra = [F.col(clock).alias("_clock")] if clock else []
+    extra += [F.col(sign).alias("_sign")] if sign else []
+    r = W.rows(df, cfg, extra)
+    s = F.col("_sign") if sign else F.lit(1)
+    values = []
+    for n, a in enumerate(cfg.group.aggregates):
+        v = F.col(f"_v{n}")
+        if a.fn == "count":
+            values.append(F.when(v.isNotNull(), s).otherwise(0).cast("long").alias(f"v{n}"))
+        elif a.fn == "sum":
+            values.append(F.coalesce(v * s, F.lit(0.0)).alias(f"v{n}"))
+        else:
+            values.append(v.cast("string").alias(f"v{n}"))
+    keys = [f"_k{i}" for i in range(len(cfg.key_fields))]
+    at = F.coalesce(F.col("_clock").cast("long") if clock else F.col("t"), F.col("t"))
+    return r.select(*keys, "t", "pane", at.alias("clock"), s.cast("int").alias("sign"), *values)
+
+
+def revised_stream(df: DataFrame, cfg: WindowConfig, clock: str | None = None, sign: str | None = None, processing: bool = False, delay: str = "0 seconds", idle_ms: int | None = None) -> DataFrame:
+    """(keys, end, aggregates, tick): every emission of every window; a later tick replaces an earlier one.
+
+    The watermark follows ``clock``, less ``delay``. Where that is a time of arrival, rows may be as late by their own
+    time as they like; where it is the row's own time, rows older than the watermark are dropped by Spark.
+    ``idle_ms``: a key without rows for so long is forgotten.
+    """
+    r = stream_rows(df, cfg, clock, sign)
     keys = [f"_k{i}" for i in range(len(cfg.key_fields))]
     kinds = [f"{k} {r.schema[k].dataType.simpleString()}" for k in keys]
-    schema = ", ".join([*kinds, "end long", *[f"_a{n} {'double' if a.fn == 'sum' else 'long'}" for n, a in enumerate(cfg.group.aggregates)]])
-    # One struct, so that aggregates over the same column stay apart in the plan.
-    values = F.struct(*[f"_v{n}" for n in range(len(cfg.group.aggregates))]).alias("values")
-    r = r.select(*keys, "t", "pane", values)
-    done = r.groupBy(*keys).transformWithStateInPandas(statefulProcessor=WindowProcessor(cfg, len(keys)), outputStructType=schema, outputMode="Append", timeMode="None")
-    return W.output(done, cfg)
+    schema = ", ".join([*kinds, "end long", *[f"_a{n} {'double' if a.fn == 'sum' else 'long'}" for n, a in enumerate(cfg.group.aggregates)], "tick long"])
+    if not processing:
+        r = r.withColumn("_at", F.timestamp_millis("clock")).withWatermark("_at", delay)
+    return r.groupBy(*keys).transformWithStateInPandas(
+        statefulProcessor=WindowProcessor(cfg, len(keys), processing, idle_ms), outputStructType=schema, outputMode="Append", timeMode="ProcessingTime" if processing else "EventTime"
+    )
+
+
+def windowed_stream(df: DataFrame, cfg: WindowConfig, **how) -> DataFrame:
+    """The streaming form of ``operators.windows.windowed``: fields and aggregates by position, revisions as further rows."""
+    return W.output(revised_stream(df, cfg, **how), cfg)
