@@ -1,6 +1,7 @@
 """Files in the shared folder, for formats that Spark has no writer for.
 
-Paths are URIs of any file system that Arrow opens (file, hdfs, s3, gs ...).
+Paths are URIs of any file system that Arrow opens (file, hdfs, s3, gs ...). A path without a scheme is
+refused: which file system it means is known to Spark alone, and ``storage.new_folder`` has asked it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from pyarrow import fs
 
 
 def _at(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
+    if "://" not in uri:
+        raise ValueError(f"{uri} has no scheme")
+    return (fs.LocalFileSystem(), uri[7:]) if uri.startswith("file://") else fs.FileSystem.from_uri(uri)
 
 
 class Out:

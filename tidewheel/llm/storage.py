@@ -29,7 +29,7 @@ def scratch_root(spark: SparkSession) -> str:
     """The shared folder; raises on a cluster that names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        return root.rstrip("/")
+        return qualified(spark, root)
     master = spark.conf.get("spark.master", "local")
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -37,6 +37,16 @@ def scratch_root(spark: SparkSession) -> str:
     return _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="tidewheel-"))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and host that Spark reads it by: without a scheme it is of the default file system.
+
+    Formats that Spark has no writer for are written by other means, which would take it for a local path.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") or "/")
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file://" + whole[5:] if whole.startswith("file:/") and not whole.startswith("file://") else whole
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     path = f"{scratch_root(spark)}/tidewheel/{label}-{uuid.uuid4().hex}"
     made = _made.get()
