@@ -48,8 +48,8 @@ def components(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = materialise(large.unionByName(e.join(least, "a").filter("m < a").select("a", F.col("m").alias("b"))).distinct(), "edges")
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.unionByName(e.join(least, "a").filter("m < a").select("a", F.col("m").alias("b"))).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialise(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
@@ -154,10 +154,12 @@ def groups(records: DataFrame, prepare: Callable[[DataFrame], None], verify: Cal
     cells = cells.withColumn("b", F.min("a").over(Window.partitionBy("key"))).filter("a != b").select("a", "b")
     stars = materialise(stars.unionByName(cells).distinct(), "stars")
     tried = materialise(stars.groupBy("a").agg(F.min("b").alias("b")), "pairs")
-    comp = _joined(None, materialise(verify(tried), "links"))
-    others = _in_comp(_in_comp(stars.join(tried, ["a", "b"], "left_anti"), comp, "a", "ca"), comp, "b", "cb")
+    links = materialise(verify(tried), "links")
+    # Nodes that are linked to one hub need not meet; whole components are made once both kinds of pairs are known.
+    near = maybe_broadcast(links.select(F.col("a").alias("node"), F.col("b").alias("comp")), SIDE_ROWS)
+    others = _in_comp(_in_comp(stars.join(tried, ["a", "b"], "left_anti"), near, "a", "ca"), near, "b", "cb")
     others = materialise(others.filter("ca != cb").select("a", "b"), "pairs")
-    comp = _joined(comp, materialise(verify(others), "links"))
+    comp = _joined(None, links.unionByName(materialise(verify(others), "links")))
     tried = stars
     for turn, partners in enumerate(ROUNDS):
         left = _open(members, comp, ROUNDS[turn - 1] + 1 if turn else 2)
