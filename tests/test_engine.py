@@ -5,8 +5,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidewheel import oracles, queries
+from tidewheel import job, oracles, queries
 from tidewheel.operators import detail, replay, windows
+from tidewheel.sources import tables
 from tidewheel.plans.config import Aggregate, DetailConfig, GroupSchema, JobConfig, Retraction, WindowConfig
 
 HOUR, DAY, ZONE = 3_600_000, 86_400_000, 28_800_000
@@ -129,3 +130,100 @@ def test_idle_keys_over_all_events(spark, name, group, kw):
     sparse = lambda e: e.filter((F.col("event_type") == "error") & (F.dayofmonth("ts") % 5 == 0))
     rows = f"SELECT * FROM ({oracles._EVENTS}) WHERE event_type = 'error' AND day(epoch_ms(t)) % 5 = 0"
     same(queries.window_query(sparse, group=group, slide=HOUR, **kw)(spark, folder), oracles.window_sql(group, rows=rows, **kw))
+
+
+def test_detail_store_lives_and_compacts(spark, tmp_path):
+    now = [1_000.0]
+    store = detail.DetailStore(spark, str(tmp_path / "s"), clock=lambda: now[0])
+    put = lambda k, f, v, ttl=0: (store.write(spark.createDataFrame([(k, f, v)], detail.SCHEMA), ttl), now.__setitem__(0, now[0] + 1))
+    assert store.read().isEmpty() and store.get("none") is None and not store.exists("h")
+    put("h", "a", "1", 10)
+    put("h", "b", "2", 10)
+    put("k", "a", "3")
+    put("h", "a", "4")  # a write without a time keeps the hash's end
+    assert {tuple(r) for r in store.hgetall("h").collect()} == {("a", "4"), ("b", "2")}
+    store.set("name", "x")
+    now[0] += 1
+    store.lpush("list", "1", "2")
+    now[0] += 1
+    store.lpush("list", "3")
+    for _ in range(2):
+        assert store.get("name") == "x" and [r.value for r in store.lrange("list").collect()] == ["3", "2", "1"]
+        assert store.hget("h", "b") == "2" and store.exists("k") and store.hkeys("h").count() == 2
+        now[0] += 1
+        store.compact()
+    now[0] = 1_011.5
+    assert not store.exists("h") and store.hget("k", "a") == "3"
+    put("h", "c", "5")  # a hash that is over starts anew
+    assert [tuple(r) for r in store.hgetall("h").collect()] == [("c", "5")]
+    names = spark.createDataFrame([("a",), ("z",)], "field string")
+    assert [r.value for r in store.hmget("k", names).collect()] == ["3"]
+
+
+def test_detail_store_tries_again(spark, tmp_path):
+    store = detail.DetailStore(spark, str(tmp_path / "s"), wait_s=0.0)
+    calls = []
+
+    def missing():
+        calls.append(1)
+        return spark.read.schema("a long").parquet(str(tmp_path / "none")).collect()
+
+    with pytest.raises(ConnectionError):
+        store._again(missing)
+    assert len(calls) == 3
+    bad = spark.createDataFrame([(" ", "1")], "k string, v string")
+    with pytest.raises(Exception, match="blank"):
+        store.write(detail.build(bad, DetailConfig("field_0", 1, (1,))))
+
+
+def test_job_refuses_what_it_can_not_honour(spark):
+    p = {"input.table.name": "i", "output.table.name": "o", "window.size": "10", "slide.size": "5", "time.field": "1", "group.string": '{"field":["key"],"group":["count_1"]}', "key.fields": "0"}
+    for change in ({"min.idle.state": "1", "max.idle.state": "2"}, {"stream.time.type": "processing"}, {"min.idle.state": "1"}):
+        with pytest.raises(ValueError):
+            job.run_window_job(spark, {**p, **change})
+    for change in ({"output.table.type": "buffer"}, {"hkey.value.map": "0=0"}, {"redis.address": "h"}):
+        with pytest.raises(ValueError):
+            job.start_window_job(spark, {**p, **change}, "unused")
+
+
+def test_windows_at_the_edges(spark):
+    """Rows a millisecond before a window's end and at it, around midnight, and ahead of the clock."""
+    start = 1_704_038_400_000  # midnight at +08:00
+    rows = [("a", str(start + d), 1) for d in (-HOUR - 1, -1, 0, 1, HOUR - 1, HOUR, 5 * HOUR)]
+    for kw in ({}, {"size": 25 * HOUR, "start_zero": True}):
+        cfg = config(**kw)
+        assert {(r[0], r[1]): tuple(r)[2:] for r in windows.windowed(table(spark, rows), cfg).collect()} == model(rows, cfg)
+
+
+def test_stream_fires_by_the_wall_clock(spark, tmp_path):
+    """Processing time: windows come though no further row does, and a NaN counts as in a batch."""
+    import time
+
+    from tidewheel.streaming.processor import revised_stream
+
+    group = GroupSchema.parse('{"field":["key_0","endtime_13"],"group":["count_2","sum_2"]}')
+    cfg = WindowConfig((0,), 1, 2000, 1000, group)
+    now = int(time.time() * 1000)
+    spark.createDataFrame([("a", str(now), 1.0), ("a", str(now), None), ("b", str(now), float("nan"))], "k string, t string, v double").write.parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema("k string, t string, v double").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    out = str(tmp_path / "out")
+    query = revised_stream(source, cfg, processing=True, idle_ms=60_000).writeStream.foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{out}/batch={e}")).option("checkpointLocation", str(tmp_path / "state")).start()
+    rows = []
+    for _ in range(120):
+        time.sleep(0.5)
+        if query.lastProgress and len(rows := spark.read.parquet(out).collect()) >= 4:
+            break
+    query.stop()
+    assert {r._a0 for r in rows if r._k0 == "a"} <= {0, 1} and any(r._k0 == "b" for r in rows)
+    late = [r for r in rows if r.end > now + 4000]
+    assert late or len(rows) >= 4
+
+
+def test_upsert_survives_a_repeated_batch(spark, tmp_path):
+    put = tables.Upsert(str(tmp_path / "u"), ["k"], "tick")
+    rows = lambda *x: spark.createDataFrame(list(x), "k string, v long, tick long")
+    put(rows(("a", 1, 1), ("b", 2, 1)), 7)
+    put(rows(("a", 3, 2)), 8)
+    put(rows(("a", 3, 2)), 8)
+    assert {tuple(r) for r in put.read(spark).collect()} == {("a", 3, 2), ("b", 2, 1)}

@@ -139,6 +139,12 @@ SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHER
         agg={"distinct_long_2": "count(DISTINCT r.l_suppkey)", "count_3": "count(r.l_quantity)", "sum_3": "round(coalesce(sum(r.l_quantity), 0.0), 4)"},
         field={"key_0_0": "g.l_returnflag", "endtime_13": "g.w - 1"},
     ),
+    "window_job": f"SELECT * FROM ({window_sql(['count_4', 'sum_4', 'distinct_long_2'], rows=_ADMITTED, **_DAY)}) WHERE count_4 > 0",
+    "stream_job": f"SELECT * FROM ({window_sql(['count_4', 'sum_4', 'distinct_long_2'], trigger_late=2 * HOUR, **_DAY)}) WHERE count_4 > 0",
+    "detail_job": f"""
+WITH a AS ({_resolved("arg_min", f"SELECT * FROM ({_DUP}) WHERE event_id % 3 = 0")}), b AS ({_resolved("arg_min")})
+SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.hkey = b.hkey AND a.field = b.field)
+""",
     "stream_equals_batch": window_sql(["count_4", "sum_4", "distinct_long_2"]),
     "stream_late_recount": window_sql(["count_4", "sum_4", "distinct_long_2"], rows=_ADMITTED, **_DAY),
     "stream_lateness": window_sql(["count_4", "sum_4", "distinct_long_2"], size=6 * HOUR, trigger_late=90 * 60_000, lateness=30 * 60_000),

@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
-
-from pyspark.sql import types as T
+from dataclasses import dataclass
 
 from tidewheel.functions.timeutil import DAY_MS, ZONE_MS
 
@@ -36,10 +34,6 @@ class Aggregate:
     def is_distinct(self) -> bool:
         return self.fn.startswith("distinct")
 
-    @property
-    def type(self) -> T.DataType:
-        return T.DoubleType() if self.fn == "sum" else T.LongType()
-
 
 @dataclass(frozen=True)
 class GroupSchema:
@@ -56,14 +50,6 @@ class GroupSchema:
                 raise ValueError(f"unmatch key type {f}")
         return cls(tuple(spec["field"]), tuple(Aggregate.parse(g) for g in spec["group"]))
 
-    def types(self, key_types: list[T.DataType]) -> list[T.DataType]:
-        def of(f: str) -> T.DataType:
-            if f.startswith("key_"):
-                return key_types[int(f.split("_")[1])]
-            return T.LongType() if f.endswith(("_10", "_13")) else T.StringType()
-
-        return [of(f) for f in self.fields] + [a.type for a in self.aggregates]
-
 
 @dataclass(frozen=True)
 class Retraction:
@@ -141,11 +127,15 @@ class JobConfig:
     uid: str = "default"
     detail_table: str | None = None
     idle_state_s: tuple[int, int] | None = None
+    time_type: str = "event"
+    store_address: str | None = None
+    store_port: int = 9100
+    store_password: str | None = None
 
     @classmethod
     def from_params(cls, p: dict[str, str]) -> JobConfig:
-        if p.get("stream.time.type", "event").lower() == "ingestion":
-            raise ValueError("ingestion time is not supported")
+        if (time_type := p.get("stream.time.type", "event").lower()) not in ("event", "processing"):
+            raise ValueError(f"{time_type} time is not supported")
         for k in ("input.table.name", "output.table.name", "window.size", "slide.size", "time.field", "group.string", "key.fields"):
             if not p.get(k):
                 raise ValueError(f"{k} is required")
@@ -173,9 +163,12 @@ class JobConfig:
             _flag(p, "recount.late.data", False),
             retraction,
         )
+        if bool(p.get("min.idle.state")) != bool(p.get("max.idle.state")):
+            raise ValueError("min.idle.state and max.idle.state go together")
         idle = (int(p["min.idle.state"]), int(p["max.idle.state"])) if p.get("min.idle.state") and p.get("max.idle.state") else None
         return cls(
-            window, p["input.table.name"], p["output.table.name"], p.get("input.table.type", "source"), p.get("output.table.type", "sink"), p.get("where", ""), p.get("select", "*"), p.get("uid", "default"), p.get("detail.table"), idle
+            window, p["input.table.name"], p["output.table.name"], p.get("input.table.type", "source"), p.get("output.table.type", "sink"), p.get("where", ""), p.get("select", "*"), p.get("uid", "default"), p.get("detail.table"), idle,
+            time_type, p.get("redis.address"), int(p.get("redis.port", 9100)), p.get("redis.passwd")
         )
 
 
@@ -191,7 +184,6 @@ class DetailConfig:
     check_exists: bool = False
     audit: bool = False
     expire_s: int = 0
-    tables: dict[str, str] = field(default_factory=dict)
 
     @classmethod
     def from_params(cls, p: dict[str, str]) -> DetailConfig:

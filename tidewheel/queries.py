@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel import job
 from tidewheel.functions import timeutil
 from tidewheel.operators import detail, replay, retract, windows
 from tidewheel.plans.config import DetailConfig, GroupSchema, Retraction, WindowConfig
@@ -110,6 +111,17 @@ def _detail_store(s: SparkSession, d: str) -> DataFrame:
     return store.read().select("hkey", "field", "value")
 
 
+def _detail_job(s: SparkSession, d: str) -> DataFrame:
+    """The detail job by its parameters: existing details stay, what is written comes out."""
+    rows = _dup_pk(s, d)
+    store = detail.DetailStore(s, shared_folder(s, "details"))
+    params = {"input.table.name": "tidewheel_details", "hkey.prefix": "field_3", "hkey.suffix": ":hash", "hkey.field": "0", "hkey.values": "3,2,1,5", "check.exists": "true", "redis.expire": "86400"}
+    for part in (rows.filter("event_id % 3 = 0"), rows):
+        part.createOrReplaceTempView("tidewheel_details")
+        job.run_detail_job(s, params, store, "event_id")
+    return store.read().select("hkey", "field", "value")
+
+
 def _audit(s: SparkSession, d: str) -> DataFrame:
     built = detail.resolve(detail.build(_dup_pk(s, d), DUP, "event_id"), False)
     return detail.audit(built, F.lit(1_704_067_200 + 17 * 3600).cast("long"))
@@ -198,6 +210,36 @@ def _stream(s: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], sig
     return rounded(windows.output(replay.latest(streamed(make(events(s, d)), cfg, "arrival", sign), ["_k0"]), cfg))
 
 
+PARAMS = {
+    "input.table.name": "tidewheel_events", "output.table.name": "tidewheel_windows", "output.table.type": "buffer", "window.size": str(25 * HOUR), "slide.size": str(HOUR), "time.field": "1", "key.fields": "3",
+    "group.string": '{"field":["key_0_3","endtime_13"],"group":["count_4","sum_4","distinct_long_2"]}', "start.zero.time": "true", "keep.late.zero.time": str(HOUR), "recount.late.data": "true",
+    "select": "key_0_3, endtime_13, count_4, round(sum_4, 4) AS sum_4, distinct_long_2", "where": "count_4 > 0",
+}
+
+
+def _window_job(s: SparkSession, d: str) -> DataFrame:
+    """The window job by its parameters: late rows recounted in day mode."""
+    late(events(s, d)).createOrReplaceTempView(PARAMS["input.table.name"])
+    return job.run_window_job(s, PARAMS | {"input.table.type": "buffer"}, arrival="arrival")
+
+
+def _stream_job(s: SparkSession, d: str) -> DataFrame:
+    """The streaming window job, stopped and started again in between; the last emission of each window."""
+    folder = shared_folder(s, "job")
+    s.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = on_time(events(s, d))
+    upsert = tables.Upsert(f"{folder}/windows", ["_k0", "end"], "tick")
+    params = PARAMS | {"output.table.type": "sink", "uid": "tidewheel", "keep.old.data": "true", "trigger.late.ms": str(2 * HOUR)}
+    low, high = rows.agg(F.min("arrival"), F.max("arrival")).first()
+    middle = ((low or 0) + (high or 0)) // 2
+    end = s.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.timestamp_millis(F.lit((high or 0) + 2 * DAY)).alias("ts"), F.lit("~").alias("event_type"), F.lit((high or 0) + 2 * DAY).alias("arrival"))
+    for part in (rows.filter(F.col("arrival") <= middle), rows.filter(F.col("arrival") > middle), end):
+        s.createDataFrame([], rows.schema).unionByName(part, allowMissingColumns=True).write.mode("append").parquet(f"{folder}/in")
+        source = s.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        job.start_window_job(s, params, f"{folder}/state", source, "arrival", upsert=upsert, available_now=True).awaitTermination()
+    return job.last_windows(s, params, upsert).filter("key_0_3 <> '~'")
+
+
 def on_time(e: DataFrame) -> DataFrame:
     return e.withColumn("arrival", F.unix_millis("ts"))
 
@@ -251,6 +293,9 @@ QUERIES: dict[str, Query] = {
     "buffer_chain": _buffer_chain,
     "bitmap_distinct": _bitmap,
     "lineitem_daily_distinct_supplier": _lineitem,
+    "window_job": _window_job,
+    "detail_job": _detail_job,
+    "stream_job": _stream_job,
     "stream_equals_batch": lambda s, d: _stream(s, d, on_time, **STREAM),
     "stream_late_recount": lambda s, d: _stream(s, d, late, **STREAM, **DAY_CONFIG),
     "stream_lateness": lambda s, d: _stream(s, d, on_time, **STREAM, lateness=30 * 60_000, size=6 * HOUR, trigger_late=90 * 60_000),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,18 +66,23 @@ def producer(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
     return spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load().select(F.to_json(row).alias("value"))
 
 
-def upsert(folder: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` sink that keeps the last row of each key in versions of a Parquet table."""
+class Upsert:
+    """A ``foreachBatch`` sink that keeps the row with the greatest ``order`` for each key.
+
+    Each batch appends a folder of its own, written over if the batch is repeated, so a stream that goes on
+    after a failure or from an older checkpoint loses and doubles nothing; the last rows are chosen on reading.
+    """
+
+    def __init__(self, folder: str, keys: list[str], order: str):
+        self.folder, self.keys, self.order = folder, keys, order
 
-    def put(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.col("tick") if "tick" in batch.columns else F.lit(0)).alias("r")).select("r.*")
-        if epoch:
-            old = spark.read.parquet(f"{folder}/v{epoch - 1}")
-            new = old.join(new.select(*keys), keys, "left_anti").unionByName(new)
-        new.write.mode("overwrite").parquet(f"{folder}/v{epoch}")
+    def __call__(self, batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("_epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{self.folder}/batch={epoch}")
 
-    return put
+    def read(self, spark: SparkSession) -> DataFrame:
+        rows = spark.read.parquet(self.folder).drop("batch")
+        row = F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "_epoch"])
+        return rows.groupBy(*self.keys).agg(F.max_by(row, F.struct(self.order, "_epoch")).alias("_r")).select("_r.*")
 
 
 def console(df: DataFrame) -> StreamingQuery:
