@@ -43,7 +43,7 @@ BASE_RULES = (
     Rule("hex", r"[0-9a-f]{24,}+", "[0-9a-f]{24}"),
 )
 MORE_RULES = (
-    Rule("private_key", r"-----BEGIN (?:[A-Z]++ )*+PRIVATE KEY-----", "PRIVATE KEY-----"),
+    Rule("private_key", r"-----BEGIN (?:(?!PRIVATE KEY)[A-Z]++ )*+PRIVATE KEY-----", "PRIVATE KEY-----", version=2),
     Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", r"eyJ[A-Za-z0-9_-]{8}"),
     Rule("forge_token", r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}+", "gh[pousr]_"),
     Rule("chat_token", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+", "xox[abprs]-"),
