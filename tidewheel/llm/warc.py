@@ -33,6 +33,8 @@ MIN_REVISIT_BYTES = 0
 _STEP = 1 << 16
 _MAGIC = b"\x1f\x8b\x08"
 _VERSION = b"WARC/1."
+#: Holds a url with line breaks or with white space at its ends; a page without a url has no target at all.
+_EXACT = "X-Target-URI-Base64"
 
 
 def digest32(data: bytes) -> str:
@@ -212,6 +214,11 @@ def read(f) -> Iterator[Record | Gap]:
         yield Gap(start, at, reason)
 
 
+def _target(headers: dict[str, str]) -> str | None:
+    exact = headers.get(_EXACT.lower())
+    return headers.get("warc-target-uri") if exact is None else base64.b64decode(exact).decode("utf-8", "surrogatepass")
+
+
 def page_record(page_id, url: str | None, payload: bytes, sha: str, refers_to, is_revisit: bool) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     name = lambda x: f"<urn:page:{'' if x is None else x}:{sha}>"
@@ -219,10 +226,12 @@ def page_record(page_id, url: str | None, payload: bytes, sha: str, refers_to, i
         ("WARC-Type", "revisit" if is_revisit else "response"),
         ("WARC-Record-ID", name(page_id)),
         ("WARC-Date", "2024-01-01T00:00:00Z"),
-        ("WARC-Target-URI", "".join((url or "about:blank").splitlines())),
+        *([("WARC-Target-URI", "".join(url.splitlines()).strip())] if url is not None else []),
         ("Content-Type", "application/http;msgtype=response"),
         ("WARC-Payload-Digest", "sha1:" + sha),
     ]
+    if url is not None and url != headers[3][1]:  # a header can't hold it as it is
+        headers.append((_EXACT, base64.b64encode(url.encode("utf-8", "surrogatepass")).decode()))
     if is_revisit:
         headers += [("WARC-Refers-To", name(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Truncated", "length")]
     return encode(headers, http if is_revisit else http + payload)
@@ -266,8 +275,18 @@ _MANIFEST = pa.schema([("uri", pa.string()), ("bytes", pa.int64()), ("records",
 _FOUND = pa.schema([(k, pa.string()) for k in ("uri", "type", "id", "target", "refers", "digest")] + [(k, pa.int64()) for k in ("payload_bytes", "start", "end")] + [("ok", pa.bool_()), ("gap", pa.string()), ("payload", pa.binary())])
 
 
+def complete(found: Iterator[Record | Gap], expected: int | None) -> Iterator[Record | Gap]:
+    """``found``, and a gap at its end if it has fewer records than the manifest says."""
+    n, end = 0, 0
+    for x in found:
+        n, end = n + isinstance(x, Record), x.end
+        yield x
+    if expected is not None and n < expected:
+        yield Gap(end, end, f"{expected - n} records missing")
+
+
 def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = False) -> DataFrame:
-    """A row for each record and each gap of the archives in ``manifest`` (uri).
+    """A row for each record and each gap of the archives in ``manifest`` (uri, and perhaps records, the number written).
 
     uri, type, id, target, refers, digest, payload_bytes, start, end, ok, gap, payload: ``digest`` is
     computed from a response's payload and taken from a revisit's headers, as is its size; ``ok`` tells
@@ -279,9 +298,9 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Fal
         rows: list[dict] = []
         held = 0
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for uri, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 with files.open_input(uri) as f:
-                    for x in read(f):
+                    for x in complete(read(f), expected):
                         row = dict.fromkeys(_FOUND.names) | {"uri": uri, "start": x.start, "end": x.end}
                         if isinstance(x, Gap):
                             row |= {"gap": x.reason}
@@ -290,7 +309,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Fal
                             said = h.get("warc-payload-digest", "").removeprefix("sha1:")
                             revisit = x.kind == "revisit"
                             length = x.http().get("content-length", "")
-                            row |= {"type": x.kind, "id": h.get("warc-record-id"), "target": h.get("warc-target-uri"), "refers": h.get("warc-refers-to")}
+                            row |= {"type": x.kind, "id": h.get("warc-record-id"), "target": _target(h), "refers": h.get("warc-refers-to")}
                             row |= {"digest": said if revisit else digest32(body), "payload_bytes": (int(length) if length.isdigit() else None) if revisit else len(body)}
                             row |= {"ok": revisit or not said or said == row["digest"], "payload": body if payloads and not revisit else None}
                             held += len(body) if payloads else 0
@@ -305,13 +324,14 @@ def read_archives(spark: SparkSession, manifest: DataFrame, payloads: bool = Fal
     schema = ", ".join(f"`{f.name}` {kinds[f.type]}" for f in _FOUND)
     # Archives have a bounded size; each is a row that any task can take.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("uri").repartition(parts).mapInArrow(out, schema)
+    said = F.col("records") if "records" in manifest.columns else F.lit(None).cast("long")
+    return manifest.select("uri", said.alias("records")).repartition(parts).mapInArrow(out, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """Write ``pages`` and read the archives back: the contract's columns, from the archives alone.
 
-    A gap or a digest that disagrees in what was just written is an error: no record is dropped.
+    A gap, a digest that disagrees or an archive with fewer records than were written is an error: no record is dropped.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
