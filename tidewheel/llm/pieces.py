@@ -123,14 +123,15 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
-_NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "source_bytes", "spans_crc32", "ids", "decoded"]
+_NAMES = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "source_bytes", "spans_crc32", "ids", "decoded", "spans"]
 
 
 def encode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
     """A row for each row of ``docs``: the contract's columns, source_bytes and spans_crc32.
 
     spans_crc32 is over the pieces' source end offsets as little-endian unsigned 32-bit numbers;
-    source_bytes is the last of them. With ``keep`` the columns ids and decoded hold the results.
+    source_bytes is the last of them. With ``keep`` the columns ids, decoded and spans hold the results; spans has the
+    source bytes (start, end) of each piece but the end id, in order: a piece starts where the one before it ends.
     """
     bounded_batches(docs.sparkSession)
 
@@ -151,14 +152,15 @@ def encode(docs: DataFrame, path: str, keep: bool = False) -> DataFrame:
                     rows["spans_crc32"].append(zlib.crc32(e.ends.astype("<u4").tobytes()))
                     rows["ids"].append(own if keep else None)
                     rows["decoded"].append(back if keep else None)
+                    rows["spans"].append([{"start": a, "end": b} for a, b in zip([0, *e.ends.tolist()], e.ends.tolist(), strict=False)] if keep else None)
                 yield pa.RecordBatch.from_pydict(rows, schema=_SCHEMA)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, source_bytes long, spans_crc32 long, ids array<int>, decoded string"
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, source_bytes long, spans_crc32 long, ids array<int>, decoded string, spans array<struct<start:int,end:int>>"
     got = rows.mapInArrow(lean(out), schema)
-    return got if keep else got.drop("ids", "decoded")
+    return got if keep else got.drop("ids", "decoded", "spans")
 
 
 _SCHEMA = pa.schema(
-    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("source_bytes", pa.int64()), ("spans_crc32", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]
+    [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("source_bytes", pa.int64()), ("spans_crc32", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
 )
