@@ -8,7 +8,9 @@ import zlib
 import numpy as np
 import pytest
 
-from tidewheel.llm import decontam, htmltext, lines, neardup, pieces, pii, quality, secrets, tokenstore, warc
+from pyspark.sql import functions as F
+
+from tidewheel.llm import decontam, files, htmltext, linkage, lines, neardup, pieces, pii, quality, secrets, storage, tokenstore, warc
 from tidewheel.llm.edit import within
 from tidewheel.llm.queries import tokenizer_file
 
@@ -178,15 +180,15 @@ def test_pieces(spark):
 
 
 def test_line_dedup(spark):
+    """Against edit similarity of all pairs of lines."""
     d = docs(spark)
-    table = [(r.doc_id, r.t, r.pos, r.sim, r.size, r.normal) for r in lines.line_table(d).collect()]
-    blocks = lambda s: [(s >> 16 * i) & 0xFFFF for i in range(4)]
+    found = lines.line_table(d)
+    table = [(r.doc_id, r.t, r.pos, r.normal) for r in found.collect()]
     group = list(range(len(table)))
     for a in range(len(table)):
         for b in range(a):
-            x, y = table[a], table[b]
-            near = sum(p == q for p, q in zip(blocks(x[3]), blocks(y[3]), strict=True)) >= 2 and bin((x[3] ^ y[3]) & (1 << 64) - 1).count("1") <= lines.BITS
-            if x[5] == y[5] or near and within(x[5], y[5], max(x[4], y[4]) * 20 // 100):
+            x, y = table[a][3], table[b][3]
+            if group[a] != group[b] and (x == y or within(x, y, max(len(x), len(y)) * 20 // 100)):
                 old, new = group[a], group[b]
                 group = [new if g == old else g for g in group]
     key = lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])
@@ -194,6 +196,8 @@ def test_line_dedup(spark):
     want = {key(r) for r, g in zip(table, group, strict=True) if key(r) != keep[g]}
     got = {key((r.doc_id, r.t, p)) for r in lines.removals(d).collect() for p in r.gone}
     assert got == want
+    exact, fast = ({r.node: r.comp for r in x.collect()} for x in (lines.exact_groups(found), lines.groups(found)))
+    assert exact == fast
     out = lines.deduplicate(d).collect()
     assert len(out) == 36 and next(r for r in out if r.doc_id == 22).text is None
     assert lines.stage(d).columns == d.columns and lines.stage(docs(spark, True)).count() == 0
@@ -250,18 +254,278 @@ def test_quality_counts_all_boilerplate_of_a_page(spark):
     assert not any(r.base_failed for r in judged)
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
+def test_secrets_by_brute_force(spark):
+    """Every digest and span, added rules included, against Python's regular expressions."""
+    kinds = {"assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6), "access": (r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20), "hex": (r"[0-9a-f]+", lambda m: len(m[0]) >= 24)}
+    more = {"private_key": r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", "jwt": r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "forge_token": r"(?<![A-Za-z0-9])gh[pousr]_[A-Za-z0-9]{36,}", "chat_token": r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}", "url_login": r"(?<=://)[A-Za-z0-9._-]+:[^\s:@/]{3,}@"}
+    rng = random.Random(5)
+    bits = ["password", "PassWd", "api_key", "apikey=", "token", ": ", "=", "'", '"', "hunter2222", "short", "abc", "AKIA", "0123456789ABCDEF", "ABCD", "deadbeef" * 3, "deadbeef", "é😀", "-----BEGIN RSA PRIVATE KEY-----", "eyJabcdefgh1.eyJabcdefgh2.abcdefgh3", "ghp_" + "a1" * 18, "xoxb-1234567890-ab", "https://me:secret99@h/x", " ", "\n", "."]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 30))) for _ in range(150)] + [None, ""]
+    got = {r.doc_id: r for r in secrets.scan_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        base = sorted((m.start(), n, m.end(), k) for n, (k, (p, good)) in enumerate(kinds.items()) for m in re.finditer(p, t or "") if good(m))
+        every = sorted(base + [(m.start(), n + 3, m.end(), k) for n, (k, p) in enumerate(more.items()) for m in re.finditer(p, t or "")])
+        written = [",".join(f"{k}:{a}:{b}" for a, _, b, k in x) for x in (base, every)]
+        assert (got[i].base_sha256, got[i].spans) == (hashlib.sha256(written[0].encode()).hexdigest(), written[1])
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(x[3] == k for x in base) for k in kinds)
+
+
+def test_pii_reliabilities_and_added_spans(spark):
+    rng = random.Random(9)
+    counts = {}
+    for _ in range(4000):  # three labelers, right in 95, 85 and 60 percent of cases, of two kinds
+        y = rng.random() < 0.4
+        votes = [2 * (y if rng.random() < p else not y) for p in (0.95, 0.85, 0.6)]
+        key = (4 + rng.randrange(2), votes[0] * 9 + votes[1] * 3 + votes[2], 4)
+        counts[key] = counts.get(key, 0) + 1
+    terms = pii.fit([(*k, n) for k, n in counts.items()])
+    swing = [terms[f"vote{j}", 2] - terms[f"vote{j}", 0] for j in range(3)]
+    assert swing[0] > swing[1] > swing[2] > 0  # the estimate orders the labelers by what they are worth
+    good = [f"call my phone (555) 234-{i:04d} today" for i in range(1000, 1030)] + [f"social security 123-45-{i:04d} is mine" for i in range(1000, 1030)] + [f"mail joe{i} [at] site{i} [dot] com" for i in range(30)]
+    bad = [f"order serial 055-134-{i:04d} part" for i in range(1000, 1030)]
+    texts = good + bad + ["a.b@c.de", None]
+    got = {r.doc_id: r for r in pii.digest(pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    kinds = {"local_phone": pii.LOCAL_PHONE, "national_id": pii.NATIONAL_ID, "veiled_email": pii.VEILED}
+    for i, t in enumerate(texts):
+        found = {f"{k}:{m.start()}:{m.end()}" for k, p in kinds.items() for m in re.finditer(p, t or "")}
+        given = set(filter(None, got[i].spans.split(",")))
+        assert given - found <= {"email:0:8"}
+        assert i >= len(good) or given & found
+    assert sum(bool(got[i].spans) for i in range(len(good), len(good) + len(bad))) == 0
+
+
+def test_pieces_by_span(spark):
+    """Each piece's source bytes against the surfaces that the library reports."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    lib = pieces.PieceCodec(path).lib
+    rows = pieces.encode(docs(spark), path, True).collect()
+    texts = {}
+    for i, t in rows_of(docs(spark)):
+        texts.setdefault(i, []).append(t)
+    for r in rows:
+        t = next(x for x in texts[r.doc_id] if lib.encode(x) == r.ids[:-1])
+        raw = t.encode()
+        assert len(r.spans) == r.n_tokens - 1
+        assert all(a.end == b.start for a, b in zip(r.spans, r.spans[1:], strict=False)) and (not r.spans or (r.spans[0].start, r.spans[-1].end) == (0, len(raw)))
+        for piece, s in zip(r.ids, r.spans, strict=False):
+            name = lib.id_to_piece(piece)
+            surface = bytes([int(name[3:5], 16)]) if lib.is_byte(piece) else name.replace("▁", " ").encode()
+            got = raw[s.start : s.end]
+            assert got == surface or s.start == 0 and b" " + got == surface
+
+
+def test_html_repeats_by_brute_force(spark, monkeypatch):
+    """Pages without an article, where what hosts repeat decides; copies count once; also in several shards."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(40)}"
+    shared = [" ".join(word() for _ in range(n)) for n in (8, 9, 14, 7)]
+    rows = []
+    for i in range(40):
+        blocks = [" ".join(word() for _ in range(rng.randrange(1, 20))) for _ in range(3)] + rng.sample(shared, 2)
+        rng.shuffle(blocks)
+        rows.append((i, f"http://h{i % 3}/{i}", "".join(f"<div>{b}</div>" for b in blocks) + ("<nav>" + shared[0] + "</nav>") * (i % 2)))
+    rows += [(100 + i, "http://h0/copy", rows[0][2]) for i in range(5)]
+
+    def expected():
+        out, hosts = {}, {}
+        for i, url, page in rows:
+            hosts.setdefault(url.split("/")[2], {})[page] = None
+        for i, url, page in rows:
+            seen = {}
+            for p in hosts[url.split("/")[2]]:
+                w = " ".join(t for _, t in htmltext.text_of(p)[1]).split()
+                for g in {tuple(w[k : k + 8]) for k in range(len(w) - 7)}:
+                    seen[g] = seen.get(g, 0) + 1
+            found = htmltext.text_of(page)[1]
+            w = " ".join(t for _, t in found).split()
+            gone = {k + j for k in range(len(w) - 7) if seen[tuple(w[k : k + 8])] >= 3 for j in range(8)}
+            at, kept = 0, []
+            for kind, t in found:
+                left = [x for j, x in enumerate(t.split(), at) if j not in gone]
+                at += len(t.split())
+                if kind == htmltext.OPEN and left:
+                    kept.append(" ".join(left))
+            out[i] = "\n".join(kept)
+        return out
+
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = expected()
+    whole = lambda page: sum(len(t.split()) for kind, t in htmltext.text_of(page)[1] if kind == htmltext.OPEN)
+    assert any(len(want[i].split()) < whole(rows[i][2]) for i in range(40))
+    for tokens in (htmltext.SHARD_TOKENS, 150):
+        monkeypatch.setattr(htmltext, "SHARD_TOKENS", tokens)
+        assert {r.page_id: r.text for r in htmltext.extract(df).collect()} == want
+
+
+def test_warc_urls_and_lost_records(spark, tmp_path):
+    rows = [(1, None, "a"), (2, " padded\t", "b"), (3, "two\nlines", "c"), (4, "", "d"), (5, "http://h/é", "e")]
+    manifest = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), "file://" + str(tmp_path / "w"))
+    found = warc.read_archives(spark, manifest).collect()
+    assert sorted((r.target for r in found), key=repr) == sorted((u for _, u, _ in rows), key=repr)
+    short = manifest.withColumn("records", manifest["records"] + 1)
+    assert any(r.gap and "missing" in r.gap for r in warc.read_archives(spark, short).collect())
+
+
+def test_scratch_folders_name_their_file_system(spark, tmp_path):
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    assert storage.qualified(spark, str(tmp_path)) == "file://" + str(tmp_path)
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.c.link./data", "file://" + str(tmp_path))
+    conf.set("fs.defaultFS", "viewfs://c/")
+    try:
+        assert storage.qualified(spark, "/data/x/") == "viewfs://c/data/x"
+    finally:
+        conf.set("fs.defaultFS", before or "file:///")
+    with pytest.raises(ValueError, match="scheme"):
+        files.Out(str(tmp_path), "a", ".x")
+
+
+@pytest.mark.parametrize("cell", [linkage.CELL, 8])
+def test_large_shards_keep_all_links(spark, monkeypatch, cell):
+    """A bucket of over a thousand members in which few link, one of near copies, and both again dealt in cells."""
+    monkeypatch.setattr(linkage, "CELL", cell)
+    monkeypatch.setattr(linkage, "SAMPLE", linkage.SAMPLE if cell > 8 else 1)
+    rng = random.Random(cell)
+    place = {i: (rng.random(), rng.random()) for i in range(1300)} | {2000 + i: (5 + i * 0.004, 0.0) for i in range(300)}
+    like = lambda a, b: abs(place[a][0] - place[b][0]) + abs(place[a][1] - place[b][1]) < 0.01
+    records = [(1, i) for i in place] + [(2, i) for i in place if i % 2] + [(3, i) for i in place if i > 1200] + [(4, 7), (5, 8), (5, 9), (5, 9)]
+
+    def near(batches):
+        for b in batches:
+            d = b.to_pydict()
+            keep = [k for k in range(len(d["a"])) if like(d["a"][k], d["b"][k])]
+            yield neardup._pairs([d["a"][k] for k in keep], [d["b"][k] for k in keep])
+
+    def search(batches):
+        for t in linkage.runs(batches, 3):
+            d = t.to_pydict()
+            i, j = d["i"][0], d["j"][0]
+            one, two = ([n for n, x in enumerate(d["blk"]) if x == y] for y in (i, j))
+            out = [(d["node"][x], d["node"][y]) for x in two for y in one if d["comp"][x] != d["comp"][y] and like(d["node"][x], d["node"][y])]
+            yield neardup._pairs([x for x, _ in out], [y for _, y in out])
+
+    got = linkage.groups(
+        spark.createDataFrame(records, "key long, node long"), lambda nodes: None, lambda pairs: pairs.mapInArrow(near, "a long, b long"),
+        lambda dealt: dealt.repartition(3, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(search, "a long, b long"),
+    )
+    group = {i: i for i in place}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    nodes = sorted(place)
+    for n, a in enumerate(nodes):
+        for b in nodes[:n]:
+            if like(a, b):
+                x, y = find(a), find(b)
+                group[max(x, y)] = min(x, y)
+    want = {i: find(i) for i in place}
+    have = {r.node: r.comp for r in got.collect()}
+    assert {i: have.get(i, i) for i in place} == want
+
+
+def test_near_copies_of_one_document(spark):
+    """Exact copies, a chain and a clique of near copies, a passage that many share, repeated rows, clashing names."""
+    rng = random.Random(4)
+    base = words(rng, 150)
+    passage = words(rng, 60)
+    texts = [" ".join(base)] * 40
+    for _ in range(120):
+        w = list(base)
+        for k in rng.sample(range(len(w)), rng.randrange(0, 9)):
+            w[k] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(words(rng, 40) + passage + words(rng, 40)) for _ in range(60)] + [None, ""]
+    rows = [(i, t, "en", "s", 0, "k") for i, t in enumerate(texts)] + [(3, texts[3], "en", "s", 0, "k"), (None, texts[0], "en", "s", 0, "k")]
+    d = spark.createDataFrame(rows, DOCS)
+    sets = [{tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if group[a] != group[b] and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    got = neardup.components(d, 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == dict(enumerate(group)) and len(got) == len(rows)
+    named = d.withColumnRenamed("_key", "gone")
+    kept = neardup.keep_first(named, 5, 80)
+    assert kept.columns == named.columns and {r.doc_id for r in kept.collect()} == {g for g in group} | {None}
 
+
+def test_filters_keep_clashing_names(spark):
     d = docs(spark).drop("_key")
-    b = spark.createDataFrame([(1, "no such words anywhere in the small corpus at hand today")], "item_id long, text string")
-    import tempfile
-
-    folder = tempfile.mkdtemp()
-    d.write.parquet(f"{folder}/documents.parquet")
-    b.write.parquet(f"{folder}/benchmark.parquet")
-    first = corpus_pipeline.STAGES[0][1](spark, d, folder)
-    assert first.columns == d.columns
-    out = corpus_pipeline.run(spark, folder)
-    ids = [r.doc_id for r in out.collect()]
-    assert set(ids) <= {r.doc_id for r in first.collect()} and {"n_tokens", "ids_sha256"} <= set(out.columns)
+    for name in ("gone", "n_lines", "bad_id", "_out", "reduced", "gone_id", "gone_text"):
+        named = d.withColumn(name, F.lit("mine"))
+        b = spark.createDataFrame([(1, "some item that no text holds at all in this small table")], "item_id long, text string")
+        for out in (quality.passed(named), decontam.clean(named, b)):
+            assert out.columns == named.columns and {r[name] for r in out.collect()} <= {"mine"}
+    named = d.withColumn("gone", F.lit("mine")).withColumn("reduced", F.lit("mine"))
+    out = lines.stage(named)
+    assert out.columns == named.columns and {(r.gone, r.reduced) for r in out.collect()} == {("mine", "mine")}
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    text = "\n".join(f"line {i}" for i in range(3)) + "\n" * (1 << 20) + "one more line of words here"
+    rows = lines.line_table(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert [r.pos for r in rows.orderBy("pos").collect()] == [0, 1, 2, (1 << 20) + 2]
+    own = ["x"] * ((1 << 20) + 5)
+    batch = lines.line_table(spark.createDataFrame([(1, "\n".join(own))], "doc_id long, text string"))
+    assert batch.count() == len(own) and batch.agg(F.max("pos")).first()[0] == len(own) - 1
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """run()'s rows against the five stages in plain Python."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    text = lambda n: "\n".join(" ".join(name(rng.randrange(3, 9)) for _ in range(12)) for _ in range(n))
+    items = [" ".join(name(6) for _ in range(14)), name(5)]
+    boiler = [" ".join(name(7) for _ in range(12)) for _ in range(8)]
+    texts = [text(8) for _ in range(30)]
+    texts += [texts[0], texts[1] + "\n" + text(1)]  # a copy, and a copy with one line more
+    near = [x.split(" ") for x in texts[2].split("\n")]
+    for k in range(0, 8, 4):
+        near[k][3] = name(5)
+    texts.append("\n".join(" ".join(x) for x in near))  # every line is like one of document 2
+    texts += [text(4) + "\n" + items[0].upper() + "\n" + text(4), text(6) + " " + items[1], text(6) + " " + items[1] + "s"]
+    texts += ["too short", "again and again " * 40, None, ""]
+    rows = [(i, t, "en", f"s{i % 3}", 0) for i, t in enumerate(texts)]
+    rows += [(1000 + i, "\n".join(boiler) + f"\nown {name(8)} {name(8)}", "en", "host", 0) for i in range(25)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    left = []
+    for i, t, _, source, _ in rows:  # quality rules
+        w = (t or "").split()
+        g = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        again = {x for j, y in enumerate(g) if g.count(y) > 1 for x in (j, j + 1, j + 2)}
+        shared = {" ".join(x.lower().split()) for x in boiler} if source == "host" else set()
+        removed = sum(len(x.split()) for x in (t or "").split("\n") if x in shared)
+        if len(w) >= 50 and 100 * len(again) <= 50 * len(w) and (len(w) - removed) * 100 >= len(w) * 20:
+            left.append((i, t))
+    assert not any(i >= 1000 for i, _ in left)
+    every = [(i, k, lines.normal(x)) for i, t in left for k, x in enumerate(t.split("\n")) if x.strip()]  # line dedup
+    group = list(range(len(every)))
+    for a in range(len(every)):
+        for b in range(a):
+            x, y = every[a][2], every[b][2]
+            if group[a] != group[b] and (x == y or within(x, y, max(len(x), len(y)) * 20 // 100)):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = [new if g == old else g for g in group]
+    gone = {every[a][:2] for a in range(len(every)) if group[a] != a}
+    short = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone)) for i, t in left]
+    left = [(i, t) for i, t in short if t.strip()]
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} or {tuple(w)} for w in (lower(t).split() for _, t in left)]  # near copies
+    left = [x for n, x in enumerate(left) if not any(100 * len(sets[n] & sets[m]) >= 80 * len(sets[n] | sets[m]) for m in range(n))]
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    phrases = [v[a : a + min(10, len(v))] for v in map(cut, items) for a in range(len(v) - min(10, len(v)) + 1)]  # decontamination
+    left = [(i, t) for i, t in left if not any(w[p : p + len(v)] == v for w in [cut(t)] for v in phrases for p in range(len(w)))]
+    lib = pieces.PieceCodec(tokenizer_file("piece_bpe_32k.model")).lib
+    want = sorted((i, len(ids) + 1, hashlib.sha256(" ".join(map(str, [*ids, lib.eos_id()])).encode()).hexdigest()) for i, t in left for ids in [lib.encode(t)])
+    got = sorted((r.doc_id, r.n_tokens, r.ids_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want
+    ids = {i for i, _, _ in got}
+    assert set(range(30)) - {2} <= ids | {0} and not ids & {30, 32, 33, 34, 36, 37, 38, 39} and 35 in ids

@@ -115,6 +115,15 @@ def test_sets_that_link_share_a_shard_and_the_tree_finds_them(percent):
                 assert 40 in p.tolist()
 
 
+@pytest.mark.parametrize("page", ["<a '" * 250_000, "<a '" * 250_000 + ">", "<a '>' " * 140_000, "<div>" * 50_000 + "</span>" * 100_000, "<b>" * 100_000 + "<p>x</p>" * 50_000, "</a '" * 200_000 + ">", "<!x" * 300_000])
+def test_malformed_pages_take_linear_time(page):
+    import time
+
+    began = time.process_time()
+    text_of(page)
+    assert time.process_time() - began < 4
+
+
 def test_html():
     page = "<head><title>no</title></head><div class='cookie-notice'>no</div><article><header><h1>A &amp; B</h1></header><p>one<br>two<p>three <b>bold</b><script>if (a<b) '</p>'</script><div id=comments>no</div></article><footer>no"
     assert text_of(page)[0] == "A & B\none two\nthree bold"
