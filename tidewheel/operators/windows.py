@@ -8,6 +8,8 @@ in. Panes are pre-aggregated before any shuffle, so a hot key costs as many rows
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,6 +179,16 @@ def windowed(df: DataFrame, cfg: WindowConfig) -> DataFrame:
     return output(compute(rows(df, cfg), cfg), cfg)
 
 
+def legacy_windowed(df: DataFrame, cfg: WindowConfig) -> DataFrame:
+    """The older form of the operator: every tick from a key's second on, and null is one more distinct text."""
+    r = rows(df, cfg)
+    for n, a in enumerate(cfg.group.aggregates):
+        if a.fn == "distinct":
+            r = r.withColumn(f"_v{n}", F.coalesce(F.concat(F.lit("="), f"_v{n}"), F.lit("null")))
+    cfg = replace(cfg, trigger_late=cfg.trigger_late + cfg.slide, always=True)
+    return output(compute(r, cfg), cfg)
+
+
 def bitmap_distinct(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact distinct counts of whole numbers by mergeable bitmaps, one for each bucket of values."""
     v = F.col(value).cast("long")

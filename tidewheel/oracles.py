@@ -5,6 +5,7 @@ from __future__ import annotations
 HOUR, DAY, ZONE = 3_600_000, 86_400_000, 28_800_000
 _EVENTS = "SELECT event_id, (epoch_us(ts) // 1000) AS t, user_id, event_type, value, props, user_id::INT AS user_int FROM events"
 _NULLS = f"SELECT * REPLACE (CASE WHEN event_id % 5 <> 0 THEN value END AS value, CASE WHEN event_id % 11 <> 0 THEN user_id END AS user_id) FROM ({_EVENTS})"
+_BOUNDARY = f"SELECT * REPLACE (t - t % {HOUR} + CASE event_id % 4 WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE {HOUR - 1} END AS t) FROM ({_EVENTS})"
 _TEXT = "strftime(make_timestamp(({0} + 28800) * 1000000), '%Y-%m-%d %H:%M:%S')"
 
 
@@ -124,6 +125,9 @@ SELECT * FROM a UNION ALL SELECT * FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHER
     "late_upsert": _REVISIONS + 'SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY event_type, "end" ORDER BY tick DESC) = 1',
     "midnight_cutoff": f"SELECT event_type, {sod('t')} AS day, count(*) AS n FROM ({_ADMITTED}) GROUP BY ALL",
     "trigger_late_first_tick": window_sql(["count_4", "sum_4"], trigger_late=5 * HOUR),
+    "boundary": window_sql(["count_4", "sum_4", "distinct_long_2"], size=6 * HOUR, rows=_BOUNDARY),
+    "boundary_day": window_sql(["count_4", "sum_4", "distinct_long_2"], rows=_BOUNDARY, **_DAY),
+    "legacy_window": window_sql(ALL, size=6 * HOUR, rows=f"SELECT * REPLACE (CASE WHEN event_id % 3 <> 0 THEN props END AS props) FROM ({_NULLS})", trigger_late=HOUR, agg=AGG | {"distinct_5": "count(DISTINCT r.props) + coalesce(max((r.t IS NOT NULL AND r.props IS NULL)::INT), 0)"}),
     "lateness_and_trigger": window_sql(["count_4", "sum_4", "distinct_long_2"], size=6 * HOUR, trigger_late=90 * 60_000, lateness=30 * 60_000, **_USERS),
     "buffer_chain": window_sql(
         ["count_2", "sum_2"], ("key_0", "endtime_13"), 6 * HOUR, rows=_CHAIN, agg={"count_2": "count(r.count_4)", "sum_2": "round(coalesce(sum(r.count_4::DOUBLE), 0.0), 4)"}

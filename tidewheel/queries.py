@@ -43,6 +43,13 @@ def nulls(e: DataFrame) -> DataFrame:
     return e.withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value"))).withColumn("user_id", F.when(F.col("event_id") % 11 != 0, F.col("user_id")))
 
 
+def boundary(e: DataFrame) -> DataFrame:
+    """Every row a millisecond ahead of a full hour, at it, a millisecond after it or at the hour's end."""
+    ms = F.unix_millis("ts")
+    step = F.when(F.col("event_id") % 4 == 0, -1).when(F.col("event_id") % 4 == 1, 0).when(F.col("event_id") % 4 == 2, 1).otherwise(HOUR - 1)
+    return e.withColumn("ts", F.timestamp_millis(ms - ms % HOUR + step))
+
+
 def late(e: DataFrame) -> DataFrame:
     """Appends arrival: some rows come 20 minutes late, a few a day and two hours."""
     ms = F.unix_millis("ts")
@@ -289,6 +296,9 @@ QUERIES: dict[str, Query] = {
     "late_upsert": lambda s, d: _revisions(s, d, True),
     "midnight_cutoff": _cutoff,
     "trigger_late_first_tick": window_query(group=["count_4", "sum_4"], trigger_late=5 * HOUR),
+    "boundary": window_query(boundary, group=["count_4", "sum_4", "distinct_long_2"], size=6 * HOUR),
+    "boundary_day": window_query(boundary, group=["count_4", "sum_4", "distinct_long_2"], **DAY_CONFIG),
+    "legacy_window": lambda s, d: rounded(windows.legacy_windowed(nulls(events(s, d)).withColumn("props", F.when(F.col("event_id") % 3 != 0, F.col("props"))), config(ALL, size=6 * HOUR))),
     "lateness_and_trigger": window_query(group=["count_4", "sum_4", "distinct_long_2"], size=6 * HOUR, slide=HOUR, trigger_late=90 * 60_000, lateness=30 * 60_000, **USERS),
     "buffer_chain": _buffer_chain,
     "bitmap_distinct": _bitmap,
