@@ -1,7 +1,8 @@
 """Personal data by weak supervision, in DataFrame functions only.
 
 Base rules find e-mail, IP, card and phone spans; looser rules propose further candidates. A regex, a
-gazetteer and a context labeler each vote yes, no or abstain on every candidate. Expectation
+gazetteer and a context labeler each vote yes, no or abstain on every candidate; the context is 48 code points
+on each side, cut at the next match of the same kind. Expectation
 maximisation over the counts of vote patterns estimates each labeler's reliability and a prior for each
 kind; its posteriors train a naive Bayes span classifier, which decides the added spans. Base spans
 always stay.
@@ -37,16 +38,34 @@ LOCAL_PHONE = r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[.-][0-9]{4}(?![0-9.-])"
 NATIONAL_ID = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 VEILED = rf"(?<![{_LOCAL}])[{_LOCAL}]++ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]++)++"
 
-#: Known endings, issuer prefixes and cue words.
-GAZETTEER = {
-    "email": r"\.(com|net|org|edu|gov|info|io|de|fr|es|it|uk|eu|nl|ch|at|be|pl|ca|us)$",
-    "ip": r"^(?!0\.|10\.|127\.|169\.254\.|192\.168\.|255\.)",
-    "card": r"^(4|5[1-5]|2[2-7]|3[47]|6011|65|35)",
-    "phone": r"^\+(1|7|20|27|3[0-69]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
-    "local_phone": r"^\(?[2-9]",
-    "national_id": r"^(?!000|666|9)",
-    "veiled_email": r"(com|net|org|edu|gov|info|io|de|fr|es|it|uk|eu)$",
-}
+# The gazetteer. Endings of names of hosts, issuer prefixes of cards, country calling codes (of those with
+# three digits the first two), networks that are never a person's, service numbers that are no area.
+ENDINGS = "com net org edu gov mil int info biz name io me co dev app de fr es it uk eu nl ch at be pl pt se no dk fi ie cz gr hu ro ru ua tr ca us mx br ar cl au nz jp cn in kr za".split()
+ISSUERS = "4 34 35 36 37 38 51 52 53 54 55 22 23 24 25 26 27 60 62 64 65".split()
+CALLING = (
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 "
+    "21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99"
+).split()
+NETWORKS = "0 10 127 255 169.254 192.168".split()
+SERVICES = "211 311 411 511 611 711 811 911".split()
+NO_AREA = "000 666".split()
+
+
+def listed(kind: str, hit: Column) -> Column:
+    """Whether the gazetteer speaks for a candidate of this kind."""
+    d = S.digits(hit)
+    key = lambda pattern: F.lower(F.regexp_extract(hit, pattern, 1))
+    return {
+        "email": key(r"\.([A-Za-z]+)$").isin(ENDINGS),
+        "veiled_email": key(r"([A-Za-z]+)$").isin(ENDINGS),
+        "ip": ~key(r"^([0-9]+)\.").isin(NETWORKS) & ~key(r"^([0-9]+\.[0-9]+)\.").isin(NETWORKS),
+        "card": F.left(d, F.lit(1)).isin(ISSUERS) | F.left(d, F.lit(2)).isin(ISSUERS),
+        "phone": F.left(d, F.lit(1)).isin(CALLING) | F.left(d, F.lit(2)).isin(CALLING),
+        "local_phone": ~F.left(d, F.lit(1)).isin("0", "1") & ~F.left(d, F.lit(3)).isin(SERVICES),
+        "national_id": ~F.left(d, F.lit(3)).isin(NO_AREA) & (F.left(d, F.lit(1)) != "9"),
+    }[kind]
+
+
 CUES = {
     "email": r"(?i)mail|contact|write|@",
     "ip": r"(?i)\bip\b|address|server|host|login|from",
@@ -103,8 +122,11 @@ def _vote(kind: Column, span: Column) -> Column:
 
     strict = {**dict.fromkeys(BASE, "."), "local_phone": r"^\(?[2-9][0-9]{2}\)?[ .-][2-9]", "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)", "veiled_email": "."}
     regex = by_kind(strict, span["hit"], 0)
-    names = by_kind(GAZETTEER, span["hit"], 0)
-    cue = F.when(span["before"].rlike(AGAINST), 0).otherwise(by_kind(CUES, span["before"], 1))
+    names = F.lit(1)
+    for i, k in enumerate(KINDS):
+        names = F.when(kind == i, F.when(listed(k, span["hit"]), 2).otherwise(0)).otherwise(names)
+    around = F.concat_ws(" ", span["before"], span["after"])
+    cue = F.when(span["before"].rlike(AGAINST), 0).otherwise(by_kind(CUES, around, 1))
     return regex * 9 + names * 3 + cue
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.storage import let
 
-SPAN = "array<struct<start:int,end:int,hit:string,before:string>>"
+SPAN = "array<struct<start:int,end:int,hit:string,before:string,after:string>>"
 
 
 def none() -> Column:
@@ -19,29 +19,26 @@ def none() -> Column:
 
 
 def matches(text: Column, pattern: str, where: Column | None = None, context: int = 48) -> Column:
-    """All leftmost non-overlapping matches as (start, end, hit, before), end exclusive.
+    """All leftmost non-overlapping matches as (start, end, hit, before, after), end exclusive.
 
-    ``before`` is up to ``context`` code points of the gap ahead of the match. ``where`` is a cheap
-    necessary condition; without it holding no regex runs.
+    ``before`` and ``after`` are up to ``context`` code points on each side of the match, cut at the neighbouring matches.
+    ``where`` is a cheap necessary condition; without it holding no regex runs.
     """
-    step = F.struct
-    found = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit")
-    )
 
     def add(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = step(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), F.right(x["gap"], F.lit(context)).alias("before"))
-        return F.when(x["hit"].isNull(), state).otherwise(step(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
-
-    out = F.aggregate(found, step(F.lit(0).alias("at"), none().alias("out")), add, lambda s: s["out"])
-    return out if where is None else F.when(where, out).otherwise(none())
+        around = (F.right(x["gap"], F.lit(context)).alias("before"), F.left(F.coalesce(x["next"], F.lit("")), F.lit(context)).alias("after"))
+        span = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit"), *around)
+        return F.when(x["hit"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out")))
 
+    def of(gaps: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        found = F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+        return F.aggregate(found, F.struct(F.lit(0).alias("at"), none().alias("out")), add, lambda s: s["out"])
 
-def tagged(spans: Column, rank: int) -> Column:
-    """(rank, start, end) for sorting and digests."""
-    return F.transform(spans, lambda s: F.struct(F.lit(rank).alias("rank"), s["start"].alias("start"), s["end"].alias("end")))
+    out = let(F.split(text, pattern, -1), of)
+    return out if where is None else F.when(where, out).otherwise(none())
 
 
 def written(spans: Column, kinds: list[str]) -> Column:
