@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.storage import lean, materialise, maybe_broadcast
+from tidewheel.llm.storage import lean, materialise, maybe_broadcast, narrow_rows
 
 #: A bucket above this many members is searched in pairs of blocks of about this size.
 BLOCK = 1000
@@ -71,15 +71,18 @@ def _members(records: DataFrame) -> DataFrame:
     part = records.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("key").count()
     cells = F.ceil(F.col("count") * SAMPLE / CELL).cast("int")
     hot = materialise(part.select(F.col("key").alias("hot"), cells.alias("cells")).filter("cells > 1"), "hot-buckets")
-    if hot.isEmpty():
+    plain = hot.isEmpty()
+    if plain:
         dealt = records.withColumn("cell", F.lit(-1))
     else:
         cell = F.when(F.col("cells").isNull(), -1).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), "cells")).cast("int")
         dealt = records.join(maybe_broadcast(hot, SIDE_ROWS), F.col("key") == F.col("hot"), "left").withColumn("cell", cell)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("key", "cell", "node").repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "node")
-    found = materialise(dealt.mapInArrow(lean(_hubs), "key long, cell int, node long, hub long"), "members")
-    if hot.isEmpty():
+    by = ["key"] if plain else ["key", "cell"]
+    dealt = dealt.select("key", "cell", "node").repartition(n, *by).sortWithinPartitions(*by, "node")
+    with narrow_rows(spark):
+        found = materialise(dealt.mapInArrow(lean(_hubs), "key long, cell int, node long, hub long"), "members")
+    if plain:
         return found
     # A cell of one node is not in the output; it still has to meet the other cells.
     alone = records.join(maybe_broadcast(hot, SIDE_ROWS), F.col("key") == F.col("hot")).select("key", F.pmod(F.xxhash64("node", F.lit(1)), "cells").cast("int").alias("cell"), "node")
@@ -244,3 +247,45 @@ def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
                 start = n
     if held:
         yield pa.Table.from_batches(held)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: int, rows: int = 1 << 13) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of about ``rows`` rows that end where a run of rows with the same first ``keys`` columns does, and where runs start."""
+
+    def starts(t: pa.Table) -> np.ndarray:
+        new = np.zeros(len(t), bool)
+        new[:1] = True
+        for i in range(keys):
+            c = t.column(i).to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            t = pa.Table.from_batches(held)
+            at = starts(t)
+            if len(at) > 1:
+                yield t.slice(0, at[-1]), at[:-1]
+                held = t.slice(at[-1]).to_batches()
+                n = len(t) - int(at[-1])
+    if n:
+        t = pa.Table.from_batches(held)
+        yield t, starts(t)
+
+
+def pairs_in_runs(starts: np.ndarray, n: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs (u, v), u < v, of places of the same run, about ``most`` at a time."""
+    size = np.diff(np.append(starts, n))
+    ahead = np.repeat(starts + size, size) - np.arange(n) - 1
+    upto = np.cumsum(ahead)
+    a = 0
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + most, "right")))
+        u = np.repeat(np.arange(a, b), ahead[a:b])
+        first = np.repeat(np.cumsum(ahead[a:b]) - ahead[a:b], ahead[a:b])
+        yield u, u + 1 + np.arange(len(u)) - first
+        a = b
