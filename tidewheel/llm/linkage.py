@@ -65,10 +65,15 @@ def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(h.bitwiseAND(F.lit((1 << 31) - 1))), F.bit_xor(h)).first())
 
 
-def _members(records: DataFrame) -> DataFrame:
+def sampled(df: DataFrame) -> DataFrame:
+    """Every ``SAMPLE``-th node's rows."""
+    return df.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0)
+
+
+def _members(records: DataFrame, part: DataFrame | None) -> DataFrame:
     """(key, cell, node, hub) of the different nodes of every cell with two or more; cell is -1 where a bucket is one."""
     spark = records.sparkSession
-    part = records.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0).groupBy("key").count()
+    part = (sampled(records) if part is None else part).groupBy("key").count()
     cells = F.ceil(F.col("count") * SAMPLE / CELL).cast("int")
     hot = materialise(part.select(F.col("key").alias("hot"), cells.alias("cells")).filter("cells > 1"), "hot-buckets")
     plain = hot.isEmpty()
@@ -142,15 +147,18 @@ def _joined(comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return maybe_broadcast(components(old.unionByName(links.select("a", "b"))), SIDE_ROWS)
 
 
-def groups(records: DataFrame, prepare: Callable[[DataFrame], None], verify: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def groups(
+    records: DataFrame, prepare: Callable[[DataFrame], None], verify: Callable[[DataFrame], DataFrame], search: Callable[[DataFrame], DataFrame], part: DataFrame | None = None
+) -> DataFrame:
     """(node, comp) of all linked nodes.
 
     ``records``: (key, node), nodes as longs, repeatable reads. ``prepare`` gets all nodes that share a
     bucket. ``verify`` keeps of (a, b) the linked pairs. ``search`` gets (key, i, j, blk, node, comp), rows
-    of block pairs, and gives all pairs (a, b) across comps of a block pair that may be links.
+    of block pairs, and gives all pairs (a, b) across comps of a block pair that may be links. ``part``: the records of
+    ``sampled`` nodes, where those are cheaper to make than to filter.
     """
     spark = records.sparkSession
-    members = _members(records)
+    members = _members(records, part)
     prepare(materialise(members.select("node").distinct(), "bucket-nodes"))
     stars = members.filter("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     cells = members.filter("cell >= 0").select("key", F.col("hub").alias("a")).distinct()
