@@ -426,6 +426,19 @@ def test_large_shards_keep_all_links(spark, monkeypatch, cell):
     assert {i: have.get(i, i) for i in place} == want
 
 
+def test_components_of_few_edges_need_no_rounds(spark, monkeypatch):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    made = []
+    monkeypatch.setattr(linkage, "materialise", lambda d, label, of=linkage.materialise: made.append(label) or of(d, label))
+    here = sorted(map(tuple, linkage.components(df).collect()))
+    assert made == ["edges", "components"] and (160, 100) in here
+    monkeypatch.setattr(linkage, "HERE", 0)
+    assert sorted(map(tuple, linkage.components(df).collect())) == here
+    assert linkage.components(df.limit(0)).count() == 0
+
+
 def test_near_copies_of_one_document(spark):
     """Exact copies, a chain and a clique of near copies, a passage that many share, repeated rows, clashing names."""
     rng = random.Random(4)

@@ -141,11 +141,8 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
     def verify(pairs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             return pairs
-        p, t = held["points"], held["texts"]
-        close = pairs.join(p.select(F.col("node").alias("a"), F.col("point").alias("pa")), "a").join(p.select(F.col("node").alias("b"), F.col("point").alias("pb")), "b")
-        close = materialise(close.select("a", "b", "pa", "pb").mapInArrow(lean(lambda x: _allowed(x, percent)), "a long, b long"), "close")
-        left, right = t.select(F.col("node").alias("a"), F.col("text").alias("ta")), t.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        return close.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(lean(lambda x: _linked(x, shingle, percent)), "a long, b long")
+        close = linkage.both(pairs, held["points"], "point").mapInArrow(lean(lambda x: _allowed(x, percent)), "a long, b long")
+        return linkage.both(materialise(close, "close"), held["texts"], "text").mapInArrow(lean(lambda x: _linked(x, shingle, percent)), "a long, b long")
 
     def search(dealt: DataFrame) -> DataFrame:
         rows = dealt.join(held["points"], "node").select("key", "i", "j", "blk", "node", "comp", "point")
@@ -179,32 +176,28 @@ def _points(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.Reco
 
 
 def _allowed(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs whose finer points leave room for the overlap that their sizes ask for."""
-    for batch in batches:
-        a, b, x, y = (batch.column(i).to_pylist() for i in range(4))
-        keep = []
-        for k in range(len(a)):
-            u, v = unpacked(x[k]), unpacked(y[k])
+    """The pairs whose finer points, in turn, leave room for the overlap that their sizes ask for."""
+    for t, first in linkage.whole_runs(batches, 2):
+        points, keep = t.column("point").to_pylist(), []
+        for k in first.tolist():
+            u, v = unpacked(points[k]), unpacked(points[k + 1])
             least = min(len(u), len(v))
             if np.minimum(folded(u, least), folded(v, least)).sum() >= overlap_needed(np.int64(u.sum() + v.sum()), percent):
                 keep.append(k)
-        yield _pairs([a[k] for k in keep], [b[k] for k in keep])
+        yield _pairs(*(t.column(c).to_numpy()[keep] for c in ("a", "b")))
 
 
 def _linked(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """The pairs whose whole sets are similar enough."""
-    for batch in batches:
-        a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        texts, rows = batch.column(2).to_pylist(), len(batch)
-        found = np.zeros(rows, bool)
-        both = [t for pair in zip(texts, batch.column(3).to_pylist(), strict=True) for t in pair]
+    """The pairs whose whole sets, in turn, are similar enough."""
+    for t, first in linkage.whole_runs(batches, 2, 1 << 10):
+        found = np.zeros(len(first), bool)
         last: np.ndarray | None = None
-        for part, sets in _sets(both, shingle):
+        for part, sets in _sets(t.column("text").to_pylist(), shingle):
             for i, s in zip(part, sets, strict=True):
                 if i % 2:
                     found[i // 2] = len(np.intersect1d(last, s, assume_unique=True)) >= overlap_needed(np.int64(len(last) + len(s)), percent)
                 last = s
-        yield _pairs([a[k] for k in np.flatnonzero(found)], [b[k] for k in np.flatnonzero(found)])
+        yield _pairs(*(t.column(c).to_numpy()[first[found]] for c in ("a", "b")))
 
 
 def _searched(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
