@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewheel.llm import huffman, warc
+from tidewheel.llm import edit, huffman, warc
 from tidewheel.llm.charsmap import CharsMap, normalise
 from tidewheel.llm.edit import within
 from tidewheel.llm.htmltext import text_of
@@ -128,3 +128,24 @@ def test_html():
     page = "<head><title>no</title></head><div class='cookie-notice'>no</div><article><header><h1>A &amp; B</h1></header><p>one<br>two<p>three <b>bold</b><script>if (a<b) '</p>'</script><div id=comments>no</div></article><footer>no"
     assert text_of(page)[0] == "A & B\none two\nthree bold"
     assert text_of("")[0] == "" and text_of("<p>only")[0] is None
+
+
+def test_unlike_long_lines_cost_no_edit_distance(monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghiéß中\U0001f600") for _ in range(rng.randrange(1, 9)))
+    shared = " ".join(word() for _ in range(8))
+    texts = [" ".join([word() for _ in range(60)] + [shared] + [word() for _ in range(60)]) for _ in range(40)]
+    for t in texts[:20]:  # a like one, its edits anywhere
+        u = list(t)
+        for _ in range(rng.randrange(len(t) // 5)):
+            u[rng.randrange(len(u))] = rng.choice(["", "x", "yy"])
+        texts.append("".join(u))
+    texts += ["".join(rng.choice("ab") for _ in range(n)) for n in (0, 1, 2, 5, 63, 64, 65, 128, 129) for _ in range(2)]
+    x, y = np.array([(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j]).T
+    size = np.array([len(t) for t in texts])
+    most = np.maximum(size[x], size[y]) // 5
+    want = [edit.within(texts[i], texts[j], int(k)) for i, j, k in zip(x, y, most, strict=True)]
+    calls = []
+    monkeypatch.setattr(edit, "within", lambda a, b, k, of=edit.within: calls.append(a) or of(a, b, k))
+    assert edit.Texts(texts).within(x, y, most).tolist() == want and sum(want) >= 30
+    assert len(calls) < len(x) // 8
