@@ -357,6 +357,18 @@ def test_html_repeats_by_brute_force(spark, monkeypatch):
         assert {r.page_id: r.text for r in htmltext.extract(df).collect()} == want
 
 
+def test_open_blocks_beside_an_article(spark):
+    """The suffix array decides on them, whatever else the page has; the article stays whole though pages share it."""
+    shared = " ".join(f"tail{i}" for i in range(9))
+    common = " ".join(f"said{i}" for i in range(10))
+    page = lambda i: f"<nav>Menu</nav><h1>Title {i}</h1><article><p>{common}</p><p>own {i}</p></article><div>{shared}</div><div>{shared} x{i}</div><footer>no</footer>"
+    rows = [(i, f"http://h/{i}", page(i)) for i in range(4)] + [(8, "http://h/8", f"<div>{common}</div><div>only here</div>"), (9, "http://g/9", page(9))]
+    got = {r.page_id: r.text for r in htmltext.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[2] == f"Title 2\n{common}\nown 2\nx2"
+    assert got[8] == "only here"  # what articles of the host repeat
+    assert got[9] == f"Title 9\n{common}\nown 9\n{shared}\n{shared} x9"
+
+
 def test_warc_urls_and_lost_records(spark, tmp_path):
     rows = [(1, None, "a"), (2, " padded\t", "b"), (3, "two\nlines", "c"), (4, "", "d"), (5, "http://h/é", "e")]
     manifest = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string"), "file://" + str(tmp_path / "w"))

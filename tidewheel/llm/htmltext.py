@@ -2,10 +2,10 @@
 
 A page is cut into blocks. Blocks of navigation, headers, footers, sidebars, notices, adverts, forms,
 comments and the like are chrome and go. Blocks of an ``article`` or ``main`` element are the article and
-stay whole, also where pages share them. On pages without such an element all other blocks are open: the
-token streams of a host's pages are concatenated, a suffix array to depth ``RUN`` finds the substrings of
-at least ``RUN`` tokens that stand on ``MIN_PAGES`` distinct pages or more, what they cover is removed and
-the unique runs are kept. Chrome blocks are part of the streams, as they show what the host repeats.
+stay whole, also where pages share them. All other blocks are open, beside an article too: the token
+streams of a host's pages are concatenated, a suffix array to depth ``RUN`` finds the substrings of at
+least ``RUN`` tokens that stand on ``MIN_PAGES`` distinct pages or more, what they cover of open blocks is
+removed and the unique runs are kept. All blocks are part of the streams, as they show what the host repeats.
 
 Hosts are dealt in shards of bounded size, by page content so that copies count once; shards of one host
 report the pages of each run and the sums decide. Null html is empty, a null url has the empty host;
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.linkage import runs
-from tidewheel.llm.storage import bounded_batches, materialise
+from tidewheel.llm.storage import bounded_batches, materialise, maybe_broadcast
 from tidewheel.llm.wordhash import _PLACE, mix, word_hashes
 
 RUN = 8
@@ -153,30 +153,28 @@ def blocks(page: str) -> list[tuple[int, str]]:
 
 
 def text_of(page: str) -> tuple[str | None, list[tuple[int, str]]]:
-    """The article's text if the page has one, and all other blocks; open blocks only without one."""
+    """The article's text, null if the page has open blocks, and all blocks."""
     found = blocks(page)
-    if any(k == ARTICLE for k, _ in found):
-        return "\n".join(t for k, t in found if k == ARTICLE), [(OUT, t) for k, t in found if k != ARTICLE]
-    if not any(k == OPEN for k, _ in found):
-        return "", found
-    return None, found
+    if any(k == OPEN for k, _ in found):
+        return None, found
+    return "\n".join(t for k, t in found if k == ARTICLE), found
 
 
 _PARSED = pa.schema(
-    [("row", pa.int64()), ("text", pa.string()), ("open", pa.bool_()), ("tokens", pa.int64()), ("blocks", pa.list_(pa.struct([("kind", pa.int8()), ("text", pa.string())])))]
+    [("row", pa.int64()), ("open", pa.bool_()), ("tokens", pa.int64()), ("blocks", pa.list_(pa.struct([("kind", pa.int8()), ("text", pa.string())])))]
 )
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """row, page_id, url, host, same (a hash of the html), text, open, tokens, blocks, written once."""
+    """row, page_id, url, host, same (a hash of the html), open, tokens, blocks, written once."""
     bounded_batches(pages.sparkSession)
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for page in batch.column("html").to_pylist():
-                text, rest = text_of(page)
-                rows.append({"text": text or "", "open": text is None, "tokens": sum(t.count(" ") + 1 for _, t in rest), "blocks": [{"kind": k, "text": t} for k, t in rest]})
+                text, found = text_of(page)
+                rows.append({"open": text is None, "tokens": sum(t.count(" ") + 1 for _, t in found), "blocks": [{"kind": k, "text": t} for k, t in found]})
             new = pa.RecordBatch.from_pylist([{"row": None} | r for r in rows], schema=_PARSED)
             keep = [batch.column(c) for c in ("row", "page_id", "url", "host", "same")]
             yield pa.RecordBatch.from_arrays(keep + new.columns[1:], names=["row", "page_id", "url", "host", "same", *_PARSED.names[1:]])
@@ -184,7 +182,7 @@ def parse(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), F.xxhash64(html).alias("same"), html.alias("html"))
-    schema = "row long, page_id long, url string, host string, same long, text string, open boolean, tokens long, blocks array<struct<kind:tinyint,text:string>>"
+    schema = "row long, page_id long, url string, host string, same long, open boolean, tokens long, blocks array<struct<kind:tinyint,text:string>>"
     return materialise(rows.mapInArrow(out, schema), "pages")
 
 
@@ -233,8 +231,9 @@ def boilerplate(parsed: DataFrame) -> DataFrame:
     spark = parsed.sparkSession
     hosts = parsed.groupBy("host").agg(F.sum("tokens").alias("n"), F.max("open").alias("any_open")).filter("any_open")
     shards = F.ceil(F.col("n") / SHARD_TOKENS).cast("int")
-    hosts = hosts.select("host", F.greatest(shards, F.lit(1)).alias("shards"))
-    rows = parsed.join(hosts, "host").withColumn("shard", F.pmod("same", "shards").cast("int"))
+    hosts = materialise(hosts.select("host", F.greatest(shards, F.lit(1)).alias("shards")), "hosts")
+    # Pages of the other hosts, all of them articles and chrome, are not shuffled.
+    rows = parsed.join(maybe_broadcast(hosts), "host").withColumn("shard", F.pmod("same", "shards").cast("int"))
     # Copies of a page are one page before any of them moves.
     rows = rows.select("host", "shard", "shards", "same", F.transform("blocks", lambda b: b["text"]).alias("texts")).dropDuplicates(["host", "same"])
     schema = pa.schema([("host", pa.string()), ("fp", pa.int64()), ("pages", pa.int64())])
@@ -282,19 +281,22 @@ def extract(pages: DataFrame) -> DataFrame:
 
     reduced = rows.select("row", "blocks").join(covered, "row", "left").mapInArrow(kept, "row long, text string")
     reduced = rows.select("row", "page_id", "url").join(reduced, "row").select("page_id", "url", "text")
-    done = parsed.filter("not open").select("page_id", "url", "text").unionByName(reduced)
+    article = F.transform(F.filter("blocks", lambda b: b["kind"] == ARTICLE), lambda b: b["text"])
+    done = parsed.filter("not open").select("page_id", "url", F.array_join(article, "\n").alias("text")).unionByName(reduced)
     return done.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def unique_runs(found: list[tuple[int, str]], covered: list[int]) -> str:
-    """The open blocks without the tokens in a covered run; a run starts at each place in ``covered``."""
+    """The article's blocks, and the open ones without the tokens in a covered run; a run starts at each place in ``covered``."""
     sizes = [t.count(" ") + 1 for _, t in found]
     gone = np.zeros(sum(sizes) + RUN, bool)
     for j in range(RUN):
         gone[np.array(covered, np.int64) + j] = True
     out, at = [], 0
     for (kind, text), n in zip(found, sizes, strict=True):
-        if kind == OPEN:
+        if kind == ARTICLE:
+            out.append(text)
+        elif kind == OPEN:
             words = [w for w, g in zip(text.split(" "), gone[at : at + n], strict=True) if not g]
             if words:
                 out.append(" ".join(words))
