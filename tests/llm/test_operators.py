@@ -554,3 +554,54 @@ def test_pipeline_by_brute_force(spark, tmp_path):
     assert got == want
     ids = {i for i, _, _ in got}
     assert set(range(30)) - {2} <= ids | {0} and not ids & {30, 32, 33, 34, 36, 37, 38, 39} and 35 in ids
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_only_texts_of_pairs_are_shuffled(spark, monkeypatch):
+    """Too many pairs to broadcast: texts that no pair asks for stay where they are, and no asked one is lost."""
+    monkeypatch.setattr(linkage, "SIDE_ROWS", 0)
+    texts = {n: random.Random(n).randbytes(500).hex() for n in range(-1000, 1000)}
+    held = storage.materialise(spark.createDataFrame(list(texts.items()), "node long, text string"), "texts")
+    asked = [(n + 1, n) for n in range(-1000, 1000, 50)]
+    pairs = storage.materialise(spark.createDataFrame(asked, "a long, b long"), "pairs")
+    before = _shuffled(spark)
+    rows = {tuple(r) for r in linkage.both(pairs, held, "text").collect()}
+    assert rows == {(a, b, side, texts[n]) for a, b in asked for side, n in enumerate((a, b))}
+    assert _shuffled(spark) - before < 700_000  # all texts: two million characters, half as many bytes at best
+
+
+def test_line_dedup_with_shuffled_sides(spark, monkeypatch):
+    """Lines are grouped alike whether nodes and pairs are broadcast or met by a shuffle."""
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) for _ in range(400)]
+    lines_ = [rng.choices(words, k=rng.choice([3, 8, 30])) for _ in range(150)]
+    near = [[*x[:-1], "other"] if len(x) > 5 else x for x in lines_[:70]]
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines_ + near)], "doc_id long, text string")
+    expected = sorted(map(tuple, lines.deduplicate(docs).collect()))
+    assert sum(r[-1] for r in expected) >= 50
+    monkeypatch.setattr(linkage, "SIDE_ROWS", 0)
+    assert sorted(map(tuple, lines.deduplicate(docs).collect())) == expected
+
+
+def test_shard_keys_are_not_written_down(spark):
+    """The keys of a set are made for the shuffle: on disk they took as much as the texts, beside that shuffle."""
+    rng = random.Random(5)
+    texts = [" ".join(str(rng.randrange(10**6)) for _ in range(300)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = neardup.features(docs, 5, 80).agg(F.sum(F.size("keys"))).first()[0]
+    every = neardup.records(docs, 5, 80).groupBy("node").count().collect()
+    assert len(every) == 400 and kept * 10 < sum(r["count"] for r in every)
+
+
+def test_line_texts_are_not_written_down(spark):
+    """Texts of lines that share no bucket are on disk at no time; those that are asked for bear the names of the table."""
+    docs = spark.createDataFrame([(1, "One  line\n\nanother LINE"), (2, "one line"), (3, None), (4, "\ud83d\ude00 x")], "doc_id long, text string")
+    whole = {r.h1: r.normal for r in lines.line_table(docs).collect()}
+    assert {r.normal for r in lines.line_table(docs, False).collect()} == {None}
+    assert {r.node: r.normal for r in lines.line_texts(docs).collect()} == whole and len(whole) == 3

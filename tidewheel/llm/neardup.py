@@ -88,33 +88,51 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 #: How many set names a task remembers, to give a repeated set's keys once.
 SEEN = 1 << 20
+#: Texts whose sets are made at once.
+_ROWS = 2000
+
+
+def _named_sets(texts: pa.Array, shingle: int) -> Iterator[tuple[list[int], list[np.ndarray], list[tuple]]]:
+    """Places in ``texts``, their sets and the two halves of the sets' 128-bit names, null if empty."""
+    for start in range(0, len(texts), _ROWS):
+        for part, sets in _sets(texts.slice(start, _ROWS).to_pylist(), shingle):
+            halves = [(s, s ^ np.uint64(0xA5A5A5A5A5A5A5A5)) for s in sets]
+            names = [tuple(_signed(mix(x).sum(keepdims=True))[0].item() if len(x) else None for x in h) for h in halves]
+            yield [start + i for i in part], sets, names
+
+
+class _Seen:
+    """Tells a task whether a set is new to it."""
+
+    def __init__(self) -> None:
+        self.names: set[tuple] = set()
+
+    def new(self, name: tuple) -> bool:
+        if name[0] is None or name in self.names:
+            return False
+        if len(self.names) >= SEEN:
+            self.names.clear()
+        self.names.add(name)
+        return True
 
 
 def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """doc_id, t (a hash of the text), n, s1, s2 (a 128-bit name of the set; null if empty) and keys, in the shared folder.
 
-    Of rows of one task with the same set only the first has keys, so a set that fills a third of the table
-    comes to its shards as one record for each task.
+    Only every ``linkage.SAMPLE``-th set has keys, those by which large shards are told; ``records`` has the keys of all.
     """
     bounded_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("t", pa.int64()), ("n", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple] = set()
+        seen = _Seen()
         for batch in batches:
-            names, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for part, sets in _sets(batch.column(1).to_pylist(), shingle):
+            ids, marks = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for part, sets, names in _named_sets(batch.column(1), shingle):
                 rows: dict[str, list] = {c: [] for c in schema.names}
-                for i, s in zip(part, sets, strict=True):
-                    sums = (None, None)
-                    if len(s):
-                        sums = (_signed(mix(s).sum(keepdims=True))[0].item(), _signed(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(keepdims=True))[0].item())
-                    new = len(s) > 0 and sums not in seen
-                    if new:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen.add(sums)
-                    for c, v in zip(schema.names, (names[i], marks[i], len(s), *sums, _signed(shard_keys(s, percent)) if new else []), strict=True):
+                for i, s, name in zip(part, sets, names, strict=True):
+                    some = len(s) > 0 and int(mix(np.array([name[0]]).view(np.uint64))[0]) % linkage.SAMPLE == 0 and seen.new(name)
+                    for c, v in zip(schema.names, (ids[i], marks[i], len(s), *name, _signed(shard_keys(s, percent)) if some else []), strict=True):
                         rows[c].append(v)
                 yield pa.RecordBatch.from_pydict(rows, schema=schema)
 
@@ -122,11 +140,33 @@ def features(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     return materialise(rows.mapInArrow(lean(out), "doc_id long, t long, n long, s1 long, s2 long, keys array<long>"), "shingles")
 
 
+_RECORD = pa.schema([("key", pa.int64()), ("node", pa.int64())])
+
+
+def records(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """(key, node) of every set's shards, made where they are asked for: written down they take as much as the texts.
+
+    Of rows of one task with the same set only the first gives keys, so a set that fills a third of the table
+    comes to its shards as one record for each task.
+    """
+
+    def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
+        for batch in batches:
+            for _, sets, names in _named_sets(batch.column(0), shingle):
+                keys = [(name[0], _signed(shard_keys(s, percent))) for s, name in zip(sets, names, strict=True) if seen.new(name)]
+                if keys:
+                    nodes = np.repeat(np.array([n for n, _ in keys], np.int64), [len(k) for _, k in keys])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([k for _, k in keys])), pa.array(nodes)], schema=_RECORD)
+
+    return docs.select("text").mapInArrow(lean(out), "key long, node long")
+
+
 def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id for every row; component_id is the component's least doc_id."""
     spark = docs.sparkSession
     f = features(docs, shingle, percent)
-    records = f.select(F.explode("keys").alias("key"), F.col("s1").alias("node"))
+    part = f.select(F.explode("keys").alias("key"), F.col("s1").alias("node"))
     # Texts of all nodes that share a shard, and their finer points.
     held: dict[str, DataFrame] = {}
 
@@ -149,7 +189,7 @@ def components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT)
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         return rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(lean(lambda x: _searched(x, percent)), "a long, b long")
 
-    comp = settled(spark, lambda: linkage.groups(records, prepare, verify, search), "set-groups")
+    comp = settled(spark, lambda: linkage.groups(records(docs, shingle, percent), prepare, verify, search, part), "set-groups")
     rows = f.select("doc_id", "n", "s1", "s2")
     # A set's rows are one node, named by both halves of its name where the rows are put together.
     same = rows.filter("s1 is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"))
