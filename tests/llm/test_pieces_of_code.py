@@ -3,13 +3,15 @@
 import io
 import random
 import struct
+from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidewheel.llm import edit, huffman, warc
+from tidewheel.llm import edit, huffman, linkage, warc
 from tidewheel.llm.charsmap import CharsMap, normalise
 from tidewheel.llm.edit import within
 from tidewheel.llm.htmltext import text_of
@@ -149,3 +151,50 @@ def test_unlike_long_lines_cost_no_edit_distance(monkeypatch):
     monkeypatch.setattr(edit, "within", lambda a, b, k, of=edit.within: calls.append(a) or of(a, b, k))
     assert edit.Texts(texts).within(x, y, most).tolist() == want and sum(want) >= 30
     assert len(calls) < len(x) // 8
+
+
+def test_like_long_lines_are_compared_at_once(monkeypatch):
+    """Distances of many pairs, exact up to ``most`` and above it beyond; a word more at the start, so that words in the same places tell nothing."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice("abcdeß中") for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(5, 90))) for _ in range(60)]
+    for t in texts[:60]:
+        u = list(t)
+        for _ in range(rng.randrange(len(t) // 3)):
+            u[rng.randrange(len(u))] = rng.choice(["", "x", "yy"])
+        texts.append("more " + "".join(u))
+    x, y = np.arange(60), np.arange(60, 120)
+    size = np.array([len(t) for t in texts])
+    most = np.maximum(size[x], size[y]) // 5
+    want = [edit.within(texts[i], texts[j], int(k)) for i, j, k in zip(x, y, most, strict=True)]
+    calls = []
+    monkeypatch.setattr(edit, "within", lambda a, b, k, of=edit.within: calls.append(a) or of(a, b, k))
+    monkeypatch.setattr(edit, "_FEWEST", 2)
+    assert edit.Texts(texts).within(x, y, most).tolist() == want and 20 <= sum(want) < 60
+    assert len(calls) < 6
+    whole = edit.Texts(texts)
+    longer, shorter = np.where(size[x] < size[y], y, x), np.where(size[x] < size[y], x, y)
+    got = whole._distances(longer, shorter, size[longer])
+    for k, i, j in zip(got.tolist(), x, y, strict=True):
+        assert edit.within(texts[i], texts[j], k) and not edit.within(texts[i], texts[j], k - 1)
+
+
+def test_records_are_shuffled_in_packs(monkeypatch):
+    """Buckets of two or more come out of packs whole, those in cells too, and no bucket of one does."""
+    monkeypatch.setattr(linkage, "SLOT", 5000)
+    rng = np.random.default_rng(1)
+    key = rng.integers(-(2**62), 2**62, 3000)[rng.integers(0, 3000, 20000)]
+    key[:4000], key[4000:4100] = 77, -5
+    node = rng.integers(-(2**62), 2**62, 900)[rng.integers(0, 900, 20000)]
+    hot = {77: 4, -5: 300}
+    batches = [pa.record_batch([pa.array(key[i : i + 700]), pa.array(node[i : i + 700])], names=["key", "node"]) for i in range(0, 20000, 700)]
+    packs = pa.Table.from_batches(linkage._packs(iter(batches), hot, 24))
+    assert len(packs) < 1000 and sum(map(len, packs.column("data").to_pylist())) <= 12 * 20000
+    rows = packs.sort_by([("slot", "ascending"), ("key", "ascending"), ("cell", "ascending")]).to_batches(max_chunksize=7)
+    want, plain, cells = defaultdict(set), defaultdict(dict), defaultdict(dict)
+    for k, n in zip(key.tolist(), node.tolist(), strict=True):
+        want[k].add(n)
+    for k, c, n, hub in pa.Table.from_batches(linkage._unpacked(iter(rows))).to_pandas().itertuples(index=False):
+        (plain[k] if c < 0 else cells[k, c])[n] = hub
+    assert sorted(map(sorted, plain.values())) == sorted(sorted(v) for k, v in want.items() if k not in hot and len(v) > 1)
+    assert all({n for (a, _), v in cells.items() if a == k for n in v} == want[k] for k in hot)
+    assert all(set(v.values()) == {min(v)} for v in [*plain.values(), *cells.values()])
