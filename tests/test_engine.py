@@ -227,3 +227,11 @@ def test_upsert_survives_a_repeated_batch(spark, tmp_path):
     put(rows(("a", 3, 2)), 8)
     put(rows(("a", 3, 2)), 8)
     assert {tuple(r) for r in put.read(spark).collect()} == {("a", 3, 2), ("b", 2, 1)}
+
+
+@pytest.mark.parametrize("kw", [{}, {"keep_old": True}, {"size": 25 * HOUR, "start_zero": True}])
+def test_windows_are_made_after_the_last_shuffle(spark, kw):
+    """What is shuffled and sorted grows with the rows, not with the windows that are made of them."""
+    out = windows.windowed(table(spark, [("a", "1704000000", 1), ("b", "1704900000", 2)]), config(**kw))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert 0 < plan.index("Generate explode(CASE WHEN") < plan.index("Exchange") and out.count() > 6

@@ -1,8 +1,8 @@
 """Sliding and day-cumulative windows from panes.
 
 A row adds to one pane. Windows are made from panes without copying a row into each window that holds
-it: counts and sums from prefix and suffix sums of blocks of panes, two additions a window and none of
-them a subtraction; distinct counts from the change at the first and last window that a value is alive
+it: sums from prefix and suffix sums of blocks of panes, two additions a window and none of them a
+subtraction; counts and distinct counts from the change at the first and last window that a pane or a value is alive
 in. Panes are pre-aggregated before any shuffle, so a hot key costs as many rows as it has panes.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions.timeutil import day_start, floor_to, format_text, parse_ms
+from tidewheel.functions.timeutil import DAY_MS, day_start, floor_to, format_text, parse_ms
 from tidewheel.plans.config import Aggregate, WindowConfig
 
 
@@ -55,31 +55,8 @@ def panes(r: DataFrame, cfg: WindowConfig, sign: str | None = None) -> DataFrame
     return r.groupBy(*_keys(cfg), "pane").agg(F.max(s).alias("_live"), F.min("t").alias("_from"), *parts)
 
 
-def grid(p: DataFrame, cfg: WindowConfig) -> DataFrame:
-    """(keys, island, end): the windows that are due, without gaps inside an island.
-
-    A key's clock stops after ``split + 1`` empty ticks and starts anew with its next row, which begins
-    another island. With ``keep_old`` it runs to the last pane of all keys.
-    """
-    keys, w = _keys(cfg), Window.partitionBy(*_keys(cfg)).orderBy("pane")
-    idle = (cfg.split + 2) * cfg.slide + cfg.lateness
-    if cfg.keep_old:
-        last = p.agg(F.max("pane").alias("last"))
-        spans = p.groupBy(*keys).agg(F.min("pane").alias("first"), F.min("_from").alias("from")).crossJoin(F.broadcast(last)).withColumn("island", F.lit(0).cast("long"))
-        end = F.col("last") + cfg.slide
-    else:
-        new = F.when(F.col("_from") - F.lag("pane").over(w) >= idle, 1).otherwise(0)
-        marked = p.select(*keys, "pane", "_from", new.alias("_new")).withColumn("island", F.sum("_new").over(w))
-        spans = marked.groupBy(*keys, "island").agg(F.min("pane").alias("first"), F.min("_from").alias("from"), F.max("pane").alias("last"))
-        end = F.col("last") + (cfg.split + 2) * cfg.slide
-    first = floor_to(F.col("from") + cfg.trigger_late, cfg.slide) + cfg.slide
-    ends = F.when(end >= first, F.sequence(F.col("first") + cfg.slide, end, F.lit(cfg.slide)))
-    out = spans.select(*keys, "island", first.alias("due"), F.explode(ends).alias("end"))
-    return out
-
-
 def _distinct_changes(r: DataFrame, n: int, cfg: WindowConfig, sign: str | None) -> DataFrame:
-    """(keys, end, change): where a value's stay in the windows begins and ends."""
+    """(keys, end, change), several rows an end: where a value's stay in the windows begins and ends."""
     keys, v = _keys(cfg), f"_v{n}"
     each = r.filter(F.col(v).isNotNull()).groupBy(*keys, "pane", v).agg(F.sum(F.col(sign) if sign else F.lit(1)).alias("refs"))
     each = each.filter("refs > 0")
@@ -89,71 +66,99 @@ def _distinct_changes(r: DataFrame, n: int, cfg: WindowConfig, sign: str | None)
         by = [*by, "_d"]
     each = each.withColumn("_next", F.lead("pane").over(Window.partitionBy(*by).orderBy("pane")))
     gone = F.least(F.col("pane") + cfg.reach, F.coalesce("_next", F.lit(1 << 62))) + cfg.slide
-    both = F.array(F.struct((F.col("pane") + cfg.slide).alias("end"), F.lit(1).alias("c")), F.struct(gone.alias("end"), F.lit(-1).alias("c")))
+    both = F.array(F.struct((F.col("pane") + cfg.slide).alias("end"), F.lit(1).cast("long").alias("c")), F.struct(gone.alias("end"), F.lit(-1).cast("long").alias("c")))
     moved = each.select(*keys, F.col("pane"), F.explode(both).alias("x")).select(*keys, "pane", "x.*")
     if cfg.start_zero:  # a value that is alive at midnight is not carried over
         moved = moved.filter(_day(F.col("end"), cfg) == day_start(F.col("pane"), cfg.zone_ms))
-    return moved.groupBy(*keys, "end").agg(F.sum("c").alias(f"_a{n}"))
+    return moved.select(*keys, "end", F.col("c").alias(f"_a{n}"))
 
 
-def compute(r: DataFrame, cfg: WindowConfig, sign: str | None = None) -> DataFrame:
-    """(keys, end) with a value for each aggregate, for all windows of the grid."""
+def _points(r: DataFrame, cfg: WindowConfig, sign: str | None) -> DataFrame:
+    """(keys, end) and, in day mode, the day _d: the ends at which a window differs from the one before it.
+
+    ``_a`` is a count's or distinct count's change, ``_e`` and ``_l`` what a sum's panes bring at the first end that
+    holds them and at the first that doesn't. ``_pane`` and ``_from`` are those of a pane of live rows that enters;
+    ``_mark`` tells that one enters or leaves. At a day's first end stands a row if panes of the day before are still inside.
+    """
     keys, aggs = _keys(cfg), cfg.group.aggregates
     if cfg.start_zero:  # a pane across midnight belongs to no day
-        whole = day_start(F.col("pane"), cfg.zone_ms) == day_start(F.col("pane") + cfg.slide - 1, cfg.zone_ms)
-        inside = r.filter(whole)
+        inside = r.filter(day_start(F.col("pane"), cfg.zone_ms) == day_start(F.col("pane") + cfg.slide - 1, cfg.zone_ms))
     else:
         inside = r
-    p = panes(inside, cfg, sign)
-    alive = panes(r.filter(F.col(sign) > 0) if sign else r, cfg)
-    plain = [n for n, a in enumerate(aggs) if not a.is_distinct]
-    zero = lambda n: F.lit(0.0) if aggs[n].fn == "sum" else F.lit(0).cast("long")
-    col = lambda n, have: (F.col(f"_a{n}") if have else zero(n)).cast("double" if aggs[n].fn == "sum" else "long").alias(f"_a{n}")
-    every = range(len(aggs))
-
-    def part(df: DataFrame, end: Column, have: set[int]) -> DataFrame:
-        return df.select(*keys, end.alias("end"), *[col(n, n in have) for n in every])
-
-    changes = part(p, F.col("pane") + cfg.slide, set(plain))
-    for n in every:
-        if aggs[n].is_distinct:
-            changes = changes.unionByName(part(_distinct_changes(inside, n, cfg, sign), F.col("end"), {n}))
-    changes = changes.groupBy(*keys, "end").agg(*[F.sum(f"_a{n}").alias(f"_a{n}") for n in every])
-    g = grid(alive, cfg)
-    on = [F.col(f"g.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys] + [F.col("g.end") == F.col("c.end")]
-    dense = g.alias("g").join(changes.alias("c"), on, "left")
-    dense = dense.select(*[F.col(f"g.{k}").alias(k) for k in keys], "g.island", "g.due", "g.end", *[F.coalesce(F.col(f"c._a{n}"), zero(n)).alias(f"_a{n}") for n in every])
-
-    run = [*keys, "island"]
+    counts, sums = [n for n, a in enumerate(aggs) if a.fn == "count"], [n for n, a in enumerate(aggs) if a.fn == "sum"]
+    steps = [n for n, a in enumerate(aggs) if a.fn != "sum"]
+    zeros = {f"_a{n}": F.lit(0).cast("long") for n in steps} | {f"_{x}{n}": F.lit(0.0) for n in sums for x in "el"}
+    none = {"_pane": F.lit(None).cast("long"), "_from": F.lit(None).cast("long"), "_mark": F.lit(False)}
+    enters, leaves = F.col("pane") + cfg.slide, F.col("pane") + cfg.reach + cfg.slide
+
+    def point(end: Column, day: Column | None = None, **own: Column) -> Column:
+        day = [(_day(end, cfg) if day is None else day).alias("_d")] if cfg.start_zero else []
+        return F.struct(end.alias("end"), *day, *[c.alias(k) for k, c in (zeros | none | own).items()])
+
+    def spread(df: DataFrame, points: list[Column]) -> DataFrame:
+        return df.select(*keys, F.explode(F.array_compact(F.array(*points))).alias("x")).select(*keys, "x.*")
+
+    own = None if sign or cfg.start_zero else {"_pane": F.col("pane"), "_from": F.col("_from"), "_mark": F.lit(True)}
+    day = day_start(F.col("pane"), cfg.zone_ms) if cfg.start_zero else None
+    into = {f"_a{n}": F.col(f"_a{n}") for n in counts} | {f"_e{n}": F.col(f"_a{n}") for n in sums}
+    out_of = {f"_a{n}": -F.col(f"_a{n}") for n in counts} | {f"_l{n}": F.col(f"_a{n}") for n in sums}
+    both = [point(enters, day, **into, **(own or {})), point(leaves, day, **out_of, **({"_mark": F.lit(True)} if own else {}))]
     if cfg.start_zero:
-        dense = dense.withColumn("_day", _day(F.col("end"), cfg))
-        run = [*run, "_day"]
-    order = Window.partitionBy(*run).orderBy("end")
-    out = [F.sum(f"_a{n}").over(order).alias(f"_a{n}") for n in every if aggs[n].is_distinct]
-    if plain:
-        # Blocks of ``split`` panes: a window is a suffix of one block and a prefix of the next.
-        index = F.floor(F.col("end") / cfg.slide)
-        dense = dense.withColumn("_block", F.floor(index / cfg.split)).withColumn("_last", F.pmod(index, F.lit(cfg.split)) == cfg.split - 1)
+        both.append(F.when(_day(leaves, cfg) != day, point(floor_to(day + DAY_MS, cfg.slide) + cfg.slide)))
+    every = spread(panes(inside, cfg, sign), both)
+    if own is None:
+        alive = (r.filter(F.col(sign) > 0) if sign else r).groupBy(*keys, "pane").agg(F.min("t").alias("_from"))
+        ends = [point(enters, _pane=F.col("pane"), _from=F.col("_from"), _mark=F.lit(True))]
+        every = every.unionByName(spread(alive, ends if cfg.always else [*ends, point(leaves, _mark=F.lit(True))]))
+    for n in steps:
+        if aggs[n].is_distinct:
+            moved = _distinct_changes(inside, n, cfg, sign)
+            every = every.unionByName(moved.select(*keys, point(F.col("end"), **{f"_a{n}": F.col(f"_a{n}")}).alias("x")).select(*keys, "x.*"))
+    by = [*keys, "end", "_d"] if cfg.start_zero else [*keys, "end"]
+    return every.groupBy(*by).agg(*[F.sum(c).alias(c) for c in zeros], F.max("_pane").alias("_pane"), F.min("_from").alias("_from"), F.max("_mark").alias("_mark"))
+
+
+def compute(r: DataFrame, cfg: WindowConfig, sign: str | None = None) -> DataFrame:
+    """(keys, end) with a value for each aggregate, for all windows that are due, without gaps inside an island.
+
+    A window differs from the one before it only where a pane enters or leaves, so all shuffles and sorts are of
+    such ends; the windows between two of them are made last. A key's clock stops after ``split + 1`` empty ticks and
+    starts anew with its next row, which begins another island. With ``keep_old`` it runs to the last pane of all keys.
+    """
+    keys, aggs, slide = _keys(cfg), cfg.group.aggregates, cfg.slide
+    at = _points(r, cfg, sign)
+    run = [*keys, "_d"] if cfg.start_zero else keys
+    sums = [n for n, a in enumerate(aggs) if a.fn == "sum"]
+    if sums:
+        # Blocks of ``split`` panes: a window holds what has entered in its own block, and of the block before
+        # what leaves later in its own.
+        at = at.withColumn("_block", F.floor(F.col("end") / slide / cfg.split))
         block = Window.partitionBy(*run, "_block")
-        ahead, back = block.orderBy("end"), block.orderBy(F.desc("end"))
-        dense = dense.withColumns({f"_p{n}": F.sum(f"_a{n}").over(ahead) for n in plain} | {f"_s{n}": F.sum(f"_a{n}").over(back) for n in plain})
-        start = F.first("_block").over(order)
-        for n in plain:
-            before = F.coalesce(F.lag(f"_s{n}", cfg.split - 1).over(order), F.first(f"_s{n}").over(order)) if cfg.split > 1 else F.lit(0)
-            whole = F.col("_last") | (F.col("_block") == start)
-            out.append((F.col(f"_p{n}") + F.when(whole, zero(n)).otherwise(before)).alias(f"_a{n}"))
-    done = dense.select(*keys, "island", "due", "end", *out).filter("end >= due")
-    if not cfg.always:
-        done = _changed(done, alive, cfg)
-    return done.drop("island", "due")
-
-
-def _changed(done: DataFrame, p: DataFrame, cfg: WindowConfig) -> DataFrame:
-    """Only the ticks at which a pane enters or leaves."""
-    keys = _keys(cfg)
-    ticks = p.select(*keys, F.explode(F.array(F.col("pane") + cfg.slide, F.col("pane") + cfg.reach + cfg.slide)).alias("end")).distinct()
-    on = [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys] + [F.col("d.end") == F.col("t.end")]
-    return done.alias("d").join(ticks.alias("t"), on, "left_semi")
+        back = block.orderBy(F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+        at = at.withColumns({f"_l{n}": F.coalesce(F.sum(f"_l{n}").over(back), F.lit(0.0)) for n in sums})
+        at = at.withColumns({f"_e{n}": F.sum(f"_e{n}").over(block.orderBy("end")) for n in sums})
+    order = Window.partitionBy(*keys).orderBy("end")
+    values = {f"_a{n}": F.sum(f"_a{n}").over(Window.partitionBy(*run).orderBy("end")) for n in range(len(aggs)) if n not in sums}
+    at = at.withColumns(values | {f"_a{n}": F.col(f"_e{n}") + F.col(f"_l{n}") for n in sums})
+    if cfg.start_zero:
+        at = at.filter(_day(F.col("end"), cfg) == F.col("_d"))
+    before = F.max("_pane").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    idle = F.lit(False) if cfg.keep_old else F.col("_from") - before >= (cfg.split + 2) * slide + cfg.lateness
+    at = at.withColumn("_new", F.col("_pane").isNotNull() & (before.isNull() | idle))
+    due = F.last(F.when(F.col("_new"), floor_to(F.col("_from") + cfg.trigger_late, slide) + slide), ignorenulls=True).over(order)
+    at = at.withColumns({"_due": due, "_next": F.lead("end").over(order), "_over": F.lead("_new").over(order), "_last": F.max("_pane").over(order)})
+    if cfg.keep_old:
+        last = (r.filter(F.col(sign) > 0) if sign else r).agg(F.max("pane").alias("_until"))
+        at = at.crossJoin(F.broadcast(last.select((F.col("_until") + slide).alias("_until"))))
+        stop = F.least(F.coalesce(F.col("_next") - slide, F.col("_until")), "_until")
+    else:
+        until = F.col("_last") + (cfg.split + 2) * slide
+        stop = F.when(F.col("_next").isNull() | F.col("_over"), until).otherwise(F.col("_next") - slide)
+    start = F.greatest("end", "_due")
+    if not cfg.always:  # only the ticks at which a pane enters or leaves
+        return at.filter(F.col("_mark") & (start == F.col("end")) & (stop >= start)).select(*keys, "end", *[f"_a{n}" for n in range(len(aggs))])
+    ends = F.when(stop >= start, F.sequence(start, stop, F.lit(slide)))
+    return at.select(*keys, *[f"_a{n}" for n in range(len(aggs))], F.explode(ends).alias("end")).select(*keys, "end", *[f"_a{n}" for n in range(len(aggs))])
 
 
 def output(done: DataFrame, cfg: WindowConfig) -> DataFrame:
