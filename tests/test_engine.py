@@ -235,3 +235,29 @@ def test_windows_are_made_after_the_last_shuffle(spark, kw):
     out = windows.windowed(table(spark, [("a", "1704000000", 1), ("b", "1704900000", 2)]), config(**kw))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert 0 < plan.index("Generate explode(CASE WHEN") < plan.index("Exchange") and out.count() > 6
+
+
+def test_stream_rows_are_packed():
+    """Rows of a key, tick, pane and sign are one row ahead of the shuffle; a null key and null values stay what they are."""
+    import pyarrow as pa
+
+    from tidewheel.streaming.processor import _packs
+
+    cfg = config(group=GroupSchema.parse('{"field":["key_0"],"group":["count_2","sum_2","distinct_long_2","distinct_2"]}'))
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", None]), HOUR * rng.randrange(3) + rng.randrange(HOUR), rng.choice([1, 1, -1]), rng.choice([None, 1, 2**60 + 1])) for _ in range(3000)]
+    held = {"_k0": [r[0] for r in rows], "t": [r[1] for r in rows], "pane": [r[1] - r[1] % HOUR for r in rows], "clock": [r[1] for r in rows], "sign": pa.array([r[2] for r in rows], pa.int32())}
+    held |= {"v0": [r[2] * (r[3] is not None) for r in rows], "v1": [float(r[2] * (r[3] or 0)) for r in rows], "v2": pa.array([r[3] for r in rows], pa.int64()), "v3": [None if r[3] is None else str(r[3]) for r in rows]}
+    batch = pa.RecordBatch.from_pydict(held)
+    got = [r for b in _packs(cfg, 1, False)(iter([batch.slice(0, 1000), batch.slice(1000)])) for r in b.to_pylist()]
+    want = defaultdict(list)
+    for k, t, s, v in rows:
+        want[k, t - t % HOUR, s].append((t, v))
+    assert len(got) == len(want) == 18
+    for r in got:
+        own = want[r["_k0"], r["pane"], r["sign"]]
+        values = [v for _, v in own if v is not None]
+        assert (r["tick"], r["low"], r["high"], r["late"]) == (r["pane"] + HOUR, min(t for t, _ in own), max(t for t, _ in own), False)
+        assert (r["v0"], r["v1"]) == (r["sign"] * len(values), pytest.approx(r["sign"] * float(sum(values))))
+        assert dict(zip(r["v2"], r["n2"], strict=True)) == {v: values.count(v) for v in set(values)}
+        assert dict(zip(r["v3"], r["n3"], strict=True)) == {str(v): values.count(v) for v in set(values)}
